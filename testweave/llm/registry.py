@@ -23,3 +23,17 @@ def op1(spark, sf_dir):
     from .covertree import near_embeddings
 
     return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_register("op7_bpe_backtracking")
+def op7(spark, sf_dir):
+    from .bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
