@@ -37,3 +37,10 @@ def op7(spark, sf_dir):
     from .bpe import encode_digests
 
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@_register("op10_media_png")
+def op10(spark, sf_dir):
+    from .media import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
