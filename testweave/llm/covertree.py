@@ -30,6 +30,7 @@ MAX_CELLS = 256
 BLOCK = 4096
 LEAF = 48
 SLACK = 1e-9
+BLOCK_COLUMNS = ("ids", "ns", "xs", "centres", "order", "cuts", "radii", "level")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -44,12 +45,16 @@ def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cover(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy centres (row numbers), all more than ``radius`` apart, and each row's nearest centre (a position there)."""
+    """Greedy centres (row numbers), about ``radius`` apart at least, and each row's nearest centre (a position there).
+
+    Single precision is enough: any choice of centres gives a valid tree, since covering radii are measured afterwards.
+    """
+    x, close = x.astype(np.float32), np.float32(1.0 - radius * radius / 2.0)
     centres: list[int] = []
     left = np.arange(len(x))
     while len(left):
         some, fresh = left[:256], []
-        near = _dist(x[some], x[some]) <= radius
+        near = x[some] @ x[some].T >= close
         taken = np.zeros(len(some), bool)
         for i in range(len(some)):
             if not taken[i]:
@@ -58,12 +63,12 @@ def cover(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         centres += fresh
         far = np.ones(len(left), bool)
         for i in range(0, len(left), 1024):
-            far[i : i + 1024] = (_dist(x[left[i : i + 1024]], x[fresh]) > radius).all(axis=1)
+            far[i : i + 1024] = (x[left[i : i + 1024]] @ x[fresh].T).max(axis=1) < close
         far[np.isin(left, fresh)] = False
         left = left[far]
     at, own = np.array(centres), np.empty(len(x), np.int64)
     for i in range(0, len(x), 1024):
-        own[i : i + 1024] = _dist(x[i : i + 1024], x[at]).argmin(axis=1)
+        own[i : i + 1024] = (x[i : i + 1024] @ x[at].T).argmax(axis=1)
     own[at] = np.arange(len(at))
     return at, own
 
@@ -71,9 +76,9 @@ def cover(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 class Node:
     """A tree node: its centre, the rows below it, their covering radius, the level's radius; children are made on demand."""
 
-    def __init__(self, x: np.ndarray, centre: int, rows: np.ndarray, level: float):
+    def __init__(self, x: np.ndarray, centre: int, rows: np.ndarray, level: float, radius: float | None = None):
         self.x, self.centre, self.rows, self.level = x, centre, rows, level
-        self.radius = float(_dist(x[rows], x[centre : centre + 1]).max()) if len(rows) > 1 else 0.0
+        self.radius = radius if radius is not None else float(_dist(x[rows], x[centre : centre + 1]).max()) if len(rows) > 1 else 0.0
         self._below: list[Node] | None = None
 
     @property
@@ -93,38 +98,58 @@ class Node:
             self._below = [Node(self.x, int(self.rows[c]), self.rows[order[cuts[i] : cuts[i + 1]]], half) for i, c in enumerate(at)]
         return self._below
 
+    def top(self) -> dict[str, bytes]:
+        """The first level as bytes, so that a tree is built once and travels with its block."""
+        if self.leaf:
+            return {"centres": b"", "order": b"", "cuts": b"", "radii": b"", "level": b""}
+        b = self.below()
+        sizes = np.cumsum([0, *(len(n.rows) for n in b)])
+        return {"centres": np.array([n.centre for n in b], np.int64).tobytes(), "order": np.concatenate([n.rows for n in b]).astype(np.int64).tobytes(), "cuts": sizes.astype(np.int64).tobytes(), "radii": np.array([n.radius for n in b]).tobytes(), "level": np.array([b[0].level]).tobytes()}
+
+    @classmethod
+    def of(cls, x: np.ndarray, top: dict[str, bytes]) -> Node:
+        root = cls(x, 0, np.arange(len(x)), 2.0)
+        if top["centres"]:
+            at, order, cuts = (np.frombuffer(top[k], np.int64) for k in ("centres", "order", "cuts"))
+            radii, level = np.frombuffer(top["radii"]), float(np.frombuffer(top["level"])[0])
+            root._below = [cls(x, int(c), order[cuts[i] : cuts[i + 1]], level, float(radii[i])) for i, c in enumerate(at)]
+        return root
+
 
 def dual_pairs(a: Node, b: Node, limit: float):
-    """Yield (rows of a, rows of b) with cosine >= ``limit``, by descending both trees at once; for a is b every pair comes in both directions."""
+    """Yield (rows of a, rows of b) with cosine >= ``limit``, by descending both trees at once; for a is b every pair comes in both directions.
+
+    Nodes that hold one vector meet in products of single precision with a margin; what passes is measured in double.
+    """
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * limit)))
+    x, y = a.x, b.x
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
         if p.leaf and q.leaf:
-            i, j = np.nonzero(p.x[p.rows] @ q.x[q.rows].T >= limit)
+            i, j = np.nonzero(x[p.rows] @ y[q.rows].T >= limit)
             if len(i):
                 yield p.rows[i], q.rows[j]
             continue
         ps = [p] if p.leaf else p.below()
         qs = [q] if q.leaf else q.below()
-        pr, qr = np.array([n.radius for n in ps]), np.array([n.radius for n in qs])
-        pc, qc = np.array([n.centre for n in ps]), np.array([n.centre for n in qs])
-        pn, qn = np.array([len(n.rows) for n in ps]), np.array([len(n.rows) for n in qs])
-        single_i, single_j = [], []
-        for s in range(0, len(ps), 512):
-            dots = p.x[pc[s : s + 512]] @ q.x[qc].T
-            far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
-            i, j = np.nonzero(far <= pr[s : s + 512, None] + qr[None, :] + reach + SLACK)
-            dots = dots[i, j]
-            i += s
-            one = (pn[i] == 1) & (qn[j] == 1)
-            hit = one & (dots >= limit)
-            single_i.append(pc[i[hit]])
-            single_j.append(qc[j[hit]])
-            stack += [(ps[k], qs[m]) for k, m in zip(i[~one].tolist(), j[~one].tolist())]
-        i = np.concatenate(single_i)
-        if len(i):
-            yield i, np.concatenate(single_j)
+        p1, q1 = [n for n in ps if len(n.rows) == 1], [n for n in qs if len(n.rows) == 1]
+        pm, qm = [n for n in ps if len(n.rows) > 1], [n for n in qs if len(n.rows) > 1]
+        for left, right in ((pm, qs), (p1, qm)):
+            if left and right:
+                lr, rr = np.array([n.radius for n in left]), np.array([n.radius for n in right])
+                lc, rc = [n.centre for n in left], [n.centre for n in right]
+                for s in range(0, len(left), 512):
+                    i, j = np.nonzero(_dist(x[lc[s : s + 512]], y[rc]) <= lr[s : s + 512, None] + rr[None, :] + reach + SLACK)
+                    stack += [(left[k + s], right[m]) for k, m in zip(i.tolist(), j.tolist())]
+        lc, rc = np.array([n.centre for n in p1], int), np.array([n.centre for n in q1], int)
+        for s in range(0, len(lc) * bool(len(rc)), 512):
+            i, j = np.divmod(np.flatnonzero(x32[lc[s : s + 512]] @ y32[rc].T >= np.float32(limit - 1e-5)), len(rc))
+            i, j = lc[s + i], rc[j]
+            hit = np.einsum("ij,ij->i", x[i], y[j]) >= limit
+            if hit.any():
+                yield i[hit], j[hit]
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -146,7 +171,9 @@ def _pack(key, t):
     row = [k.as_py() for k in key]
     ids, n = t["rep"].to_numpy().astype(np.int64), t["copies"].to_numpy().astype(np.int64)
     order = np.argsort(ids)
-    return pa.table({"dim": pa.array([row[0]], pa.int32()), "cell": pa.array([row[1]], pa.int32()), "chunk": pa.array([row[2]], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "ns": pa.array([n[order].tobytes()], pa.binary()), "xs": pa.array([unit(x)[order].tobytes()], pa.binary())})
+    x = unit(x)[order]
+    top = Node(x, 0, np.arange(len(x)), 2.0).top()
+    return pa.table({"dim": pa.array([row[0]], pa.int32()), "cell": pa.array([row[1]], pa.int32()), "chunk": pa.array([row[2]], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "ns": pa.array([n[order].tobytes()], pa.binary()), "xs": pa.array([x.tobytes()], pa.binary()), **{k: pa.array([v], pa.binary()) for k, v in top.items()}})
 
 
 def _join_blocks(limit: float):
@@ -155,7 +182,7 @@ def _join_blocks(limit: float):
         for r in sorted(t.to_pylist(), key=lambda r: r["side"]):
             ids, n = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ns"], np.int64)
             x = np.frombuffer(r["xs"], np.float64).reshape(len(ids), -1)
-            sides.append((ids, n, Node(x, 0, np.arange(len(ids)), 2.0)))
+            sides.append((ids, n, Node.of(x, r)))
         (ia, na, ta), (ib, nb, tb) = sides[0], sides[-1]
         same = len(sides) == 1
         shift = 0 if same else len(ia)
@@ -233,10 +260,10 @@ def near_embeddings(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_
     spark = vectors.sparkSession
     n_chunks = spark.createDataFrame([(d, c, n) for (d, c), n in chunks.items()], "dim int, cell int, n_chunks int")
     links = spark.createDataFrame(pairs, "dim int, cell_a int, cell_b int, n_a int, n_b int")
-    blocks = routed.join(F.broadcast(n_chunks), ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n_chunks")).cast("int")).groupBy("dim", "cell", "chunk").applyInArrow(_pack, "dim int, cell int, chunk int, ids binary, ns binary, xs binary")
+    blocks = routed.join(F.broadcast(n_chunks), ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n_chunks")).cast("int")).groupBy("dim", "cell", "chunk").applyInArrow(_pack, f"dim int, cell int, chunk int, {', '.join(f'{c} binary' for c in BLOCK_COLUMNS)}")
     blocks = materialize(blocks, "blocks")
-    left = blocks.join(F.broadcast(links), (blocks["dim"] == links["dim"]) & (blocks["cell"] == links["cell_a"])).select(blocks["dim"], "cell_a", "cell_b", F.col("chunk").alias("chunk_a"), F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("chunk_b"), F.lit(0).alias("side"), "ids", "ns", "xs")
-    right = blocks.join(F.broadcast(links), (blocks["dim"] == links["dim"]) & (blocks["cell"] == links["cell_b"])).select(blocks["dim"], "cell_a", "cell_b", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("chunk_a"), F.col("chunk").alias("chunk_b"), F.lit(1).alias("side"), "ids", "ns", "xs")
+    left = blocks.join(F.broadcast(links), (blocks["dim"] == links["dim"]) & (blocks["cell"] == links["cell_a"])).select(blocks["dim"], "cell_a", "cell_b", F.col("chunk").alias("chunk_a"), F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("chunk_b"), F.lit(0).alias("side"), *BLOCK_COLUMNS)
+    right = blocks.join(F.broadcast(links), (blocks["dim"] == links["dim"]) & (blocks["cell"] == links["cell_b"])).select(blocks["dim"], "cell_a", "cell_b", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("chunk_a"), F.col("chunk").alias("chunk_b"), F.lit(1).alias("side"), *BLOCK_COLUMNS)
     once = (F.col("cell_a") < F.col("cell_b")) | (F.col("chunk_a") <= F.col("chunk_b"))
     itself = (F.col("cell_a") == F.col("cell_b")) & (F.col("chunk_a") == F.col("chunk_b"))
     met = left.where(once).unionByName(right.where(once & ~itself))
