@@ -44,3 +44,10 @@ def op10(spark, sf_dir):
     from .media import media_digests
 
     return media_digests(table(spark, sf_dir, "documents"))
+
+
+@_register("op2_cost_balanced_packing")
+def op2(spark, sf_dir):
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
