@@ -51,3 +51,10 @@ def op2(spark, sf_dir):
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@_register("op9_secret_novelty")
+def op9(spark, sf_dir):
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
