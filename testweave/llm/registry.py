@@ -58,3 +58,16 @@ def op9(spark, sf_dir):
     from .secrets import find_secrets
 
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from .licenses import oracle
+
+    return oracle()
+
+
+@_register("op3_license_rare_tokens", _license_sql())
+def op3(spark, sf_dir):
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
