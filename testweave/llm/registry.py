@@ -71,3 +71,19 @@ def op3(spark, sf_dir):
     from .licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@_register("op6_toxic_segments")
+def op6(spark, sf_dir):
+    from .toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_register("op8_quality_attention")
+def op8(spark, sf_dir):
+    from .quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
