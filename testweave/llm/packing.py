@@ -14,9 +14,9 @@ a counter, so they don't collide.
 from __future__ import annotations
 
 import heapq
-import re
 import struct
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,12 @@ WINDOW = 20_000
 #: Sequences tried for a whole fit before a document is cut.
 TRIES = 12
 END = 1
-#: White space to Python that is none to the tokenizers' ``\\s``: such texts are encoded whole.
-ODD = re.compile("[\x1c-\x1f]")
-REMEMBER = 400_000
+#: White space to Python that is none to the tokenizers' ``\s``: texts that hold one are encoded whole.
+ODD = "\x1c\x1d\x1e\x1f"
+#: Marks that end words; no vocabulary rule joins them to letters.
+MARKS = ".,;:!?"
+#: Words in each of the two generations that a worker remembers: bounds memory, never changes results.
+REMEMBER = 800_000
 
 
 def cost(n: int) -> float:
@@ -43,7 +46,11 @@ def cost(n: int) -> float:
 
 
 class WordEncoder:
-    """Ids by the tokenizers library for a vocabulary that drops white space: words between white space are encoded once and looked up."""
+    """Ids by the tokenizers library for a vocabulary that drops white space and marks word ends.
+
+    Words between white space are encoded once and looked up after that. New words of letters alone are given to the
+    library in one text, and the ids that end a word cut its answer; should their number differ, each is encoded alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,33 +58,92 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                out += self._ids(some)
+                continue
+            raw, a = ids.tobytes(), 0
+            for b in (cuts * 4).tolist():
+                out.append(raw[a:b])
+                a = b
+        return out
+
+    def _learn(self, new: Iterable[str]) -> None:
+        words, older = self.words, self.older
+        letters: dict[str, None] = {}
+        odd: dict[str, None] = {}
+        parts = []
+        for w in new:
+            core = w.rstrip(MARKS)
+            tail = w[len(core) :]
+            if not core.isalpha():
+                odd[w] = None
+                continue
+            low = core.lower() if core.isascii() else core
+            if low not in words:
+                letters[low] = None
+            if tail and tail not in words:
+                odd[tail] = None
+            if low is not w:
+                parts.append((w, low, tail))
+        fresh = []
+        for w in letters:
+            if w in older:
+                words[w] = older[w]
+            else:
+                fresh.append(w)
+        words.update(zip(fresh, self._letters(fresh)))
+        words.update(zip(odd, self._ids(list(odd))))
+        for w, low, tail in parts:
+            words[w] = words[low] + words[tail] if tail else words[low]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if len(self.words) > REMEMBER:
             self.older, self.words = self.words, {}
         words, older = self.words, self.older
-        split = [None if ODD.search(t) else t.split() for t in texts]
+        found: list[list | None] = []
         new: dict[str, None] = {}
-        for ws in split:
-            for w in ws or ():
-                if w not in words:
-                    if w in older:
-                        words[w] = older[w]
-                    else:
+        gaps = []
+        for t in texts:
+            if any(c in t for c in ODD):
+                found.append(None)
+                continue
+            ws = t.split()
+            ids = list(map(words.get, ws))
+            if None in ids:
+                at = [k for k, x in enumerate(ids) if x is None]
+                for k in at:
+                    w = ws[k]
+                    x = older.get(w)
+                    if x is None:
                         new[w] = None
-        fresh = list(new)
-        words.update(zip(fresh, self._ids(fresh)))
-        out = [self._ids([t])[0] if ws is None else b"".join([words[w] for w in ws]) for t, ws in zip(texts, split)]
-        for w in fresh:
+                    else:
+                        words[w] = x
+                gaps.append((ids, ws, at))
+            found.append(ids)
+        self._learn(new)
+        for ids, ws, at in gaps:
+            for k in at:
+                ids[k] = words[ws[k]]
+        for w in new:
             if len(w) > 64:
                 del words[w]
-        return out
+        return [self._ids([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, found)]
 
 
 _LOADED: dict[str, WordEncoder] = {}
