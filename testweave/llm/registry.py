@@ -87,3 +87,10 @@ def op8(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_register("op5_bucket_refinement_dedup")
+def op5(spark, sf_dir):
+    from .repeats import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
