@@ -94,3 +94,10 @@ def op5(spark, sf_dir):
     from .repeats import repeat_digests
 
     return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+@_register("op4_count_vector_jaccard")
+def op4(spark, sf_dir):
+    from .jaccard import near_documents
+
+    return near_documents(table(spark, sf_dir, "documents"))
