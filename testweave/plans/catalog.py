@@ -13,6 +13,9 @@ from ..functions import text as T
 from ..operators import blame as B
 from ..operators import classify as C
 from ..operators import history as H
+from ..operators import report as P
+from ..sources.reports import analyzed, parse_files
+from ..streaming.online import failures_by_window
 from .adapters import CTE, results, runs, table
 
 QUERIES: dict = {}
@@ -201,3 +204,45 @@ query("token_estimate", "SELECT doc_id, ceil(length(text) / 4)::BIGINT AS tokens
 query("truncate_lines", "SELECT doc_id, sha256(CASE WHEN len(ls) > 3 THEN concat(array_to_string(ls[1:3], chr(10)), chr(10), '… ', (len(ls) - 3)::VARCHAR, CASE WHEN len(ls) = 4 THEN ' more line' ELSE ' more lines' END) ELSE text END) AS h FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)", False)(lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(T.truncate_lines(F.col("text"), 3), 256).alias("h")))
 on_history("referenced_files", r"SELECT id, concat(regexp_extract(stack, 'src/part[0-9]+\.py'), '|node_modules/runner/index.js|', regexp_extract(stack, 'lib/helper[0-9]+\.py')) AS files FROM results WHERE stack IS NOT NULL", lambda u, r: r.where("stack is not null").select("id", F.array_join(T.referenced_files(F.col("stack")), "|").alias("files")))
 on_history("parse_imports", "SELECT id, concat('./', test_name, '|', suite, '|os') AS specs FROM results", lambda u, r: r.select("id", F.array_join(T.parse_imports(F.concat(F.lit("import x from './"), "test_name", F.lit("';\nfrom "), "suite", F.lit(" import y\nimport os\n"))), "|").alias("specs")))
+
+# --- reports, payloads, streams --------------------------------------------------------------------------------------
+
+
+def _json(u, r):
+    v = verdict_rows(u, r)
+    j = P.json_lines(v)
+    return j.select("id", F.get_json_object("json", "$.kind").alias("kind"), F.get_json_object("json", "$.bucket").alias("bucket"), F.get_json_object("json", "$.schema_version").cast("int").alias("version"))
+
+
+on_history("json_report", _FACTS + "SELECT id, kind, bucket, 2::INT AS version FROM judged", _json)
+
+
+def _payload(u, r):
+    return P.payload_items(r.where(K.failing(F.col("status")))).select("id", F.sha2("item", 256).alias("h"), F.col("tokens").cast("long").alias("tokens"))
+
+
+_ITEM = r"concat('test: ', test_key, chr(10), 'status: ', status, chr(10), 'fingerprint: ', fingerprint, chr(10), 'message:', chr(10), regexp_replace(message, 'password=\S+', '[REDACTED]'), chr(10), 'stack:', chr(10), stack)"
+on_history("build_payload", f"SELECT id, sha256({_ITEM}) AS h, ceil(length({_ITEM}) / 4)::BIGINT AS tokens FROM results WHERE status IN ('failed', 'error')", _payload)
+
+
+def _answered(u, r):
+    n = F.col("id") % 4
+    kind = F.when(n == 0, "flake_likely").when(n == 1, "real_regression").when(n == 2, "infra_failure").otherwise("broken")
+    text = F.to_json(F.struct("test_key", kind.alias("kind"), F.lit("low").alias("confidence"), F.lit("r").alias("one_line_reason"), F.lit("").alias("likely_cause"), F.when(F.col("id") % 5 > 0, "look").alias("suggested_next_step")))
+    return P.parse_model_answers(r.select(F.col("id").alias("position"), text.alias("json")))
+
+
+on_history("model_verdict_parse", "SELECT id AS position, test_key, ['flake_likely', 'real_regression', 'infra_failure', 'broken'][(id % 4 + 1)::INT] AS kind, 'low' AS confidence, id % 4 < 3 AND id % 5 > 0 AS valid FROM results", _answered)
+
+
+def _report_rows(s, d):
+    """Pages as report files: each becomes an XML report with a failure body that holds the page's markup."""
+    pages = table(s, d, "pages")
+    body = F.concat(F.lit('<testsuite name="pages"><testcase name="p'), F.col("page_id").cast("string"), F.lit('" time="1.5"><failure message="bad page">'), T.escape_html(F.col("html")), F.lit("</failure></testcase></testsuite>"))
+    files = pages.select(F.concat(F.lit("junit-"), F.col("page_id").cast("string"), F.lit(".xml")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+    rows = analyzed(parse_files(files))
+    return rows.select("path", "suite", "name", "test_key", "status", "duration_ms", F.length("failure.stack").alias("n"))
+
+
+query("parse_reports", "SELECT concat('junit-', page_id, '.xml') AS path, 'pages' AS suite, concat('p', page_id) AS name, sha256(concat('pages::p', page_id)) AS test_key, 'failed' AS status, 1500::BIGINT AS duration_ms, length(html)::INT AS n FROM pages", False)(_report_rows)
+query("failures_by_window", "SELECT date_trunc('day', ts) AS start, user_id AS test, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY ALL", False)(lambda s, d: failures_by_window(table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("test"), (F.col("event_type") == "error").alias("failed"))).withColumn("start", F.col("start").cast("timestamp_ntz")))
