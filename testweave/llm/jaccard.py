@@ -31,6 +31,7 @@ from .components import connected_components
 from .repeats import Grams, mix
 
 WORDS = 5
+#: Groups of a point: a power of two, this many at least, and a quarter of the set's size, so that unlike sets stay apart.
 GROUPS = 64
 PAGE = 64
 COUNTERS = 1 << 16
@@ -90,8 +91,10 @@ def _sign(frequency: np.ndarray):
             doc, h = shingles(*text_buffers(b["text"]))
             n = np.bincount(doc, minlength=b.num_rows)
             cuts = np.concatenate([[0], np.cumsum(n)])
-            group = (mix(h) >> np.uint64(58)).astype(np.int64)
-            points = np.bincount(doc * GROUPS + group, minlength=b.num_rows * GROUPS).astype("<i4").reshape(-1, GROUPS)
+            bits = np.maximum(GROUPS.bit_length() - 1, np.ceil(np.log2(np.maximum(n, 1) / 4)).astype(np.int64))
+            bases = np.concatenate([[0], np.cumsum(1 << bits)])
+            group = (mix(h) >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
+            points = np.bincount(bases[doc] + group, minlength=bases[-1]).astype("<u2")
             order = np.lexsort((h, frequency[(h >> np.uint64(48)).astype(np.int64)], doc))
             key = (h >> np.uint64(64 - 8 * KEY_BYTES))[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             sums = mix(h * _MULT[0])
@@ -100,11 +103,16 @@ def _sign(frequency: np.ndarray):
                 a, z = cuts[i], cuts[i + 1]
                 ids.append(int(mix(np.array([sums[a:z].sum() + np.uint64(n[i])], np.uint64)).view(np.int64)[0]) if z > a else None)
                 keys.append(key[a : a + n[i] - (3 * n[i] + 3) // 4 + 1].tobytes() if z > a else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "th", "n", "set", "point", "keys"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array([points[bases[i] : bases[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "th", "n", "set", "point", "keys"])
 
     return run
 
 
+def folded(point: bytes, groups: int) -> np.ndarray:
+    """A point's counts in fewer groups: neighbouring groups are parts of one coarser group."""
+    return np.frombuffer(point, "<u2").reshape(groups, -1).sum(axis=1, dtype=np.int64)
+
+
 def _children(batches):
     for b in slices(batches):
         sizes = np.array([len(k) // KEY_BYTES for k in b["keys"].to_pylist()], int)
@@ -132,42 +140,43 @@ def _verify(batches):
 
 
 def _pages(limit: int):
-    """Cut rows sorted by child and size into pages of ``limit`` points."""
+    """Cut rows sorted by child and size into pages: ``limit`` points at most, of sizes that can reach 3/4 of each other."""
 
     def run(batches):
-        schema = ["child", "page", "low", "high", "corner", "sets", "labels", "sizes", "points"]
+        names = ["child", "page", "low", "high", "corner", "sets", "labels", "sizes", "points"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
         child, page, rows = None, 0, []
-        out: list[list] = [[] for _ in schema]
+        out: list[list] = [[] for _ in names]
 
-        def close(final: bool):
+        def close():
             nonlocal page
-            if rows and not (final and page == 0 and len({r[1] for r in rows}) < 2):  # a child within one component has nothing to find
-                points = np.array([np.frombuffer(r[3], "<i4") for r in rows])
-                values = (child, page, rows[0][2], rows[-1][2], points.max(axis=0).tobytes(), *(np.array([r[k] for r in rows], np.int64).tobytes() for k in range(3)), points.tobytes())
+            if rows:
+                groups = min(len(r[3]) for r in rows) // 2
+                points = np.array([folded(r[3], groups) for r in rows])
+                values = (child, page, rows[0][2], rows[-1][2], points.max(axis=0).astype("<u2").tobytes(), *(np.array([r[k] for r in rows], np.int64).tobytes() for k in range(3)), points.astype("<u2").tobytes())
                 for c, v in zip(out, values):
                     c.append(v)
             page += 1
             rows.clear()
 
-        def flush():
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=schema)
+        def made():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
             for c in out:
                 c.clear()
-            return made
+            return batch
 
         for b in batches:
             for k, s, c, n, p in zip(b["child"].to_pylist(), b["set"].to_pylist(), b["label"].to_pylist(), b["n"].to_pylist(), b["point"].to_pylist()):
                 if k != child:
-                    close(True)
+                    close()
                     child, page = k, 0
-                elif len(rows) == limit:
-                    close(False)
+                elif len(rows) == limit or rows and 3 * n > 4 * rows[0][2]:
+                    close()
                 rows.append((s, c, n, p))
             if len(out[0]) >= 512:
-                yield flush()
-        close(True)
-        yield flush()
+                yield made()
+        close()
+        yield made()
 
     return run
 
@@ -177,12 +186,11 @@ def _meet(batches):
     for b in batches:
         found_a, found_b = [], []
         for r in b.to_pylist():
-            if np.minimum(np.frombuffer(r["corner_a"], "<i4"), np.frombuffer(r["corner_b"], "<i4")).sum() < need(r["low_a"], r["low_b"]):
+            groups = min(len(r["corner_a"]), len(r["corner_b"])) // 2
+            if np.minimum(folded(r["corner_a"], groups), folded(r["corner_b"], groups)).sum() < need(r["low_a"], r["low_b"]):
                 continue
-            sides = []
-            for s in "ab":
-                sides.append((*(np.frombuffer(r[f"{k}_{s}"], np.int64) for k in ("sets", "labels", "sizes")), np.frombuffer(r[f"points_{s}"], "<i4").reshape(-1, GROUPS)))
-            (sa, la, na, pa_), (sb, lb, nb, pb) = sides
+            (sa, la, na, pa_), (sb, lb, nb, pb) = ((*(np.frombuffer(r[f"{k}_{s}"], np.int64) for k in ("sets", "labels", "sizes")), r[f"points_{s}"]) for s in "ab")
+            pa_, pb = (folded(p, groups * k).reshape(k, groups) for p, k in ((pa_, len(sa)), (pb, len(sb))))
             able = (la[:, None] != lb[None, :]) & (4 * np.minimum(na[:, None], nb[None, :]) >= 3 * np.maximum(na[:, None], nb[None, :]))
             i, j = np.nonzero(able & (sa[:, None] < sb[None, :]) if r["page_a"] == r["page_b"] else able)
             hit = np.minimum(pa_[i], pb[j]).sum(axis=1) >= need(na[i], nb[j])
@@ -224,10 +232,9 @@ def near_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = materialize(verified(star), "stars")
     labels = materialize(connected_components(first).toDF("set", "label"), "labels")
 
-    points = sizes.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    rows = shared.select("child", "set").join(points, "set")
-    mixed = rows.groupBy("child").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("child")
-    live = rows.join(mixed, "child").select("child", "set", "label", "n", "point")
+    labelled = shared.select("child", "set").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    mixed = labelled.select("child", "set", "label", F.min("label").over(of).alias("x"), F.max("label").over(of).alias("y")).where("x <> y").drop("x", "y")
+    live = mixed.join(sizes, "set").select("child", "set", "label", "n", "point")
     pages = materialize(live.repartition("child").sortWithinPartitions("child", "n", "set").mapInArrow(_pages(PAGE), "child long, page long, low long, high long, corner binary, sets binary, labels binary, sizes binary, points binary"), "pages")
     pa_, pb = (pages.toDF(*(c if c == "child" else f"{c}_{s}" for c in pages.columns)) for s in "ab")
     met = pa_.join(pb, "child").where("page_a <= page_b and 4 * high_a >= 3 * low_b")
