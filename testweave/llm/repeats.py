@@ -177,21 +177,22 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For (doc_id, th, text): the rows that have repeats, and per (doc_id, th) their repeated starts as runs of (lo, bits)."""
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     anchors = materialize(docs.mapInArrow(_anchors, "doc_id long, th long, at int, bucket long"), "anchors")
-    shared = anchors.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # tables of their own, so that both sides of a join are plain shuffles, of which Spark can split a hot bucket
+    shared = materialize(anchors.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
     live = anchors.join(shared, "bucket").groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats"))
     active = materialize(docs.join(live, same(docs, live)).select(docs["doc_id"], docs["th"], "text", "ats"), "active")
 
     runs = materialize(active.mapInArrow(_runs, "doc_id long, th long, at int, j int, lo int, core long, span long"), "runs")
     spans = materialize(runs.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "at", "j", "lo")).alias("one")), "spans")
-    mixed = spans.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
+    mixed = materialize(spans.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core"), "cores")
     open_ = spans.join(mixed, "core").select("one.*", "span", "n").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "j", "lo", "span", "n")).alias("runs"))
     texts = active.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"])
     met = texts.join(open_, same(texts, open_)).select("text", "runs")
     starts = materialize(met.mapInArrow(_starts, "window long, span long, bit int, n long"), "starts")
-    twice = starts.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    twice = materialize(starts.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "windows")
     some = starts.join(twice, "window").groupBy("span").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     full = spans.where("n > 1").select("span", F.lit((1 << RUN) - 1).cast("long").alias("bits"))
-    bits = full.unionByName(some).groupBy("span").agg(F.bit_or("bits").alias("bits"))
+    bits = materialize(full.unionByName(some).groupBy("span").agg(F.bit_or("bits").alias("bits")), "bits")
     covered = runs.join(bits, "span").groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "bits")).alias("runs"))
     return active, covered
 
