@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ReportParseError
 from ..functions import keys as K
 from ..functions.text import normalize_failure
 from ..schema import HUNKS, PARSED
@@ -31,7 +32,7 @@ _ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _ANSI = re.compile("\x1b\\[[0-9;]*[A-Za-z]")
 
 
-class ReportError(ValueError):
+class ReportError(ReportParseError):
     """A report that cannot be read."""
 
 
