@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filtered(rows: DataFrame, keys: DataFrame, columns: list[str], bits: int = 1 << 25) -> DataFrame:
+    """``rows`` without most of those whose columns are in no row of ``keys``: a filter ahead of their join, never in its place.
+
+    The keys' hashes set bits of one bitmap of fixed size (4 MB by default), which is all that reaches the driver and the
+    tasks; with more keys than bits it only lets more rows through.
+    """
+    import numpy as np
+
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    parts = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("b")).collect()
+    size = len(parts[0]["b"]) if parts else 4096
+    bitmap = np.zeros(bits // 8 // size * size + size, np.uint8)
+    for r in parts:
+        bitmap[(r["k"] - 1) * size : r["k"] * size] = np.frombuffer(bytes(r["b"]), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        found = shared.value
+        for b in batches:
+            x = b["_x"].to_numpy()
+            yield b.filter(pa.array(found[x >> 3] >> (x & 7).astype(np.uint8) & 1 == 1)).drop_columns(["_x"])
+
+    return rows.withColumn("_x", place - 1).mapInArrow(run, rows.schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches to few rows, so that a task holds few whole texts at a time."""
     for b in batches:

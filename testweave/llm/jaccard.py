@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_buffers
+from .common import filtered, materialize, slices, text_buffers
 from .components import connected_components
 from .repeats import Grams, mix
 
@@ -91,10 +91,6 @@ def _sign(frequency: np.ndarray):
             doc, h = shingles(*text_buffers(b["text"]))
             n = np.bincount(doc, minlength=b.num_rows)
             cuts = np.concatenate([[0], np.cumsum(n)])
-            bits = np.maximum(GROUPS.bit_length() - 1, np.ceil(np.log2(np.maximum(n, 1) / 4)).astype(np.int64))
-            bases = np.concatenate([[0], np.cumsum(1 << bits)])
-            group = (mix(h) >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
-            points = np.bincount(bases[doc] + group, minlength=bases[-1]).astype("<u2")
             order = np.lexsort((h, frequency[(h >> np.uint64(48)).astype(np.int64)], doc))
             key = (h >> np.uint64(64 - 8 * KEY_BYTES))[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             sums = mix(h * _MULT[0])
@@ -103,11 +99,22 @@ def _sign(frequency: np.ndarray):
                 a, z = cuts[i], cuts[i + 1]
                 ids.append(int(mix(np.array([sums[a:z].sum() + np.uint64(n[i])], np.uint64)).view(np.int64)[0]) if z > a else None)
                 keys.append(key[a : a + n[i] - (3 * n[i] + 3) // 4 + 1].tobytes() if z > a else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array([points[bases[i] : bases[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "th", "n", "set", "point", "keys"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "th", "n", "set", "keys"])
 
     return run
 
 
+def _points(batches):
+    for b in slices(batches):
+        doc, h = shingles(*text_buffers(b["text"]))
+        n = np.bincount(doc, minlength=b.num_rows)
+        bits = np.maximum(GROUPS.bit_length() - 1, np.ceil(np.log2(np.maximum(n, 1) / 4)).astype(np.int64))
+        bases = np.concatenate([[0], np.cumsum(1 << bits)])
+        group = (mix(h) >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
+        points = np.bincount(bases[doc] + group, minlength=bases[-1]).astype("<u2")
+        yield pa.RecordBatch.from_arrays([b["set"], pa.array(n, pa.int64()), pa.array([points[bases[i] : bases[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["set", "n", "point"])
+
+
 def folded(point: bytes, groups: int) -> np.ndarray:
     """A point's counts in fewer groups: neighbouring groups are parts of one coarser group."""
     return np.frombuffer(point, "<u2").reshape(groups, -1).sum(axis=1, dtype=np.int64)
@@ -207,17 +214,17 @@ def near_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     frequency = np.zeros(COUNTERS, np.int64)
     frequency[counts["counter"].to_numpy()] = counts["n"].to_numpy()
     rank = np.argsort(np.argsort(frequency, kind="stable"), kind="stable").astype(np.int32)
-    signed = materialize(docs.mapInArrow(_sign(rank), "doc_id long, th long, n long, set long, point binary, keys binary"), "signed")
-    reps = signed.where("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "th", "n", "point", "keys")).alias("one")).select("set", "one.*")
+    signed = materialize(docs.mapInArrow(_sign(rank), "doc_id long, th long, n long, set long, keys binary"), "signed")
+    reps = signed.where("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "th", "n", "keys")).alias("one")).select("set", "one.*")
     children = reps.select("set", "keys").mapInArrow(_children, "child long, set long")
     of = W.partitionBy("child")
     shared = materialize(children.select("child", "set", F.min("set").over(of).alias("low"), F.max("set").over(of).alias("high")).where("low <> high").drop("high"), "shared")
 
     involved = shared.select("set").distinct()
-    info = signed.select("doc_id", "th", "n", "set", "point").join(involved, "set").groupBy("set").agg(F.min(F.struct("doc_id", "th", "n", "point")).alias("one")).select("set", "one.*")
-    info = materialize(info, "sets")
+    info = materialize(signed.select("doc_id", "th", "n", "set").join(involved, "set").groupBy("set").agg(F.min(F.struct("doc_id", "th", "n")).alias("one")).select("set", "one.*"), "sets")
     ids = info.select("doc_id", "th", "set")
-    texts = materialize(docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["th"] == ids["th"])).select("set", "text").dropDuplicates(["set"]), "texts")
+    likely = filtered(docs, ids, ["doc_id", "th"])
+    texts = materialize(likely.join(ids, likely["doc_id"].eqNullSafe(ids["doc_id"]) & (likely["th"] == ids["th"])).select("set", "text").dropDuplicates(["set"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a"))
@@ -226,15 +233,20 @@ def near_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # each set against the smallest set of the children it shares most with
     star = shared.where("set <> low").groupBy("set", "low").agg(F.count(F.lit(1)).alias("k")).groupBy("set").agg(F.max(F.struct("k", "low")).alias("best")).select(F.col("set").alias("a"), F.col("best.low").alias("b"))
-    sizes = info.select("set", "n", "point")
-    sa, sb = sizes.toDF("a", "na", "pa"), sizes.toDF("b", "nb", "pb")
+    sizes = info.select("set", "n")
+    sa, sb = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
     star = star.join(sa, "a").join(sb, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
     first = materialize(verified(star), "stars")
     labels = materialize(connected_components(first).toDF("set", "label"), "labels")
 
     labelled = shared.select("child", "set").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    mixed = labelled.select("child", "set", "label", F.min("label").over(of).alias("x"), F.max("label").over(of).alias("y")).where("x <> y").drop("x", "y")
-    live = mixed.join(sizes, "set").select("child", "set", "label", "n", "point")
+    mixed = materialize(labelled.select("child", "set", "label", F.min("label").over(of).alias("x"), F.max("label").over(of).alias("y")).where("x <> y").drop("x", "y"), "mixed")
+    # two texts that share a passage meet under each of its shingles: of children with the same sets one is enough
+    alike = mixed.groupBy("child").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("set", F.lit(1)).cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("set", F.lit(2)).cast("decimal(20,0)")).alias("q"))
+    one = materialize(alike.groupBy("k", "p", "q").agg(F.min("child").alias("child")).select("child"), "children")
+    live = mixed.join(one, "child")
+    points = texts.join(live.select("set").distinct(), "set", "left_semi").mapInArrow(_points, "set long, n long, point binary")
+    live = live.join(points, "set").select("child", "set", "label", "n", "point")
     pages = materialize(live.repartition("child").sortWithinPartitions("child", "n", "set").mapInArrow(_pages(PAGE), "child long, page long, low long, high long, corner binary, sets binary, labels binary, sizes binary, points binary"), "pages")
     pa_, pb = (pages.toDF(*(c if c == "child" else f"{c}_{s}" for c in pages.columns)) for s in "ab")
     met = pa_.join(pb, "child").where("page_a <= page_b and 4 * high_a >= 3 * low_b")
