@@ -33,6 +33,7 @@ from .repeats import Grams, mix
 WORDS = 5
 #: Groups of a point: a power of two, this many at least, and a quarter of the set's size, so that unlike sets stay apart.
 GROUPS = 64
+FULL = 255
 PAGE = 64
 COUNTERS = 1 << 16
 KEY_BYTES = 6
@@ -111,13 +112,19 @@ def _points(batches):
         bits = np.maximum(GROUPS.bit_length() - 1, np.ceil(np.log2(np.maximum(n, 1) / 4)).astype(np.int64))
         bases = np.concatenate([[0], np.cumsum(1 << bits)])
         group = (mix(h) >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
-        points = np.bincount(bases[doc] + group, minlength=bases[-1]).astype("<u2")
+        points = np.minimum(np.bincount(bases[doc] + group, minlength=bases[-1]), FULL).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([b["set"], pa.array(n, pa.int64()), pa.array([points[bases[i] : bases[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["set", "n", "point"])
 
 
 def folded(point: bytes, groups: int) -> np.ndarray:
-    """A point's counts in fewer groups: neighbouring groups are parts of one coarser group."""
-    return np.frombuffer(point, "<u2").reshape(groups, -1).sum(axis=1, dtype=np.int64)
+    """A point's counts in fewer groups: neighbouring groups are parts of one coarser group. A full counter stands for any count, which keeps the bound valid."""
+    counts = np.frombuffer(point, np.uint8).astype(np.int64)
+    counts[counts == FULL] = 1 << 40
+    return counts.reshape(groups, -1).sum(axis=1)
+
+
+def _bytes(counts: np.ndarray) -> bytes:
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
 
 
 def _children(batches):
@@ -158,9 +165,9 @@ def _pages(limit: int):
         def close():
             nonlocal page
             if rows:
-                groups = min(len(r[3]) for r in rows) // 2
+                groups = min(len(r[3]) for r in rows)
                 points = np.array([folded(r[3], groups) for r in rows])
-                values = (child, page, rows[0][2], rows[-1][2], points.max(axis=0).astype("<u2").tobytes(), *(np.array([r[k] for r in rows], np.int64).tobytes() for k in range(3)), points.astype("<u2").tobytes())
+                values = (child, page, rows[0][2], rows[-1][2], _bytes(points.max(axis=0)), *(np.array([r[k] for r in rows], np.int64).tobytes() for k in range(3)), _bytes(points))
                 for c, v in zip(out, values):
                     c.append(v)
             page += 1
@@ -193,7 +200,7 @@ def _meet(batches):
     for b in batches:
         found_a, found_b = [], []
         for r in b.to_pylist():
-            groups = min(len(r["corner_a"]), len(r["corner_b"])) // 2
+            groups = min(len(r["corner_a"]), len(r["corner_b"]))
             if np.minimum(folded(r["corner_a"], groups), folded(r["corner_b"], groups)).sum() < need(r["low_a"], r["low_b"]):
                 continue
             (sa, la, na, pa_), (sb, lb, nb, pb) = ((*(np.frombuffer(r[f"{k}_{s}"], np.int64) for k in ("sets", "labels", "sizes")), r[f"points_{s}"]) for s in "ab")
@@ -222,36 +229,45 @@ def near_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     involved = shared.select("set").distinct()
     info = materialize(signed.select("doc_id", "th", "n", "set").join(involved, "set").groupBy("set").agg(F.min(F.struct("doc_id", "th", "n")).alias("one")).select("set", "one.*"), "sets")
-    ids = info.select("doc_id", "th", "set")
-    likely = filtered(docs, ids, ["doc_id", "th"])
-    texts = materialize(likely.join(ids, likely["doc_id"].eqNullSafe(ids["doc_id"]) & (likely["th"] == ids["th"])).select("set", "text").dropDuplicates(["set"]), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def texts_of(sets: DataFrame) -> DataFrame:
+        ids = materialize(info.join(sets, "set", "left_semi").select("doc_id", "th", "set"), "ids")
+        likely = filtered(docs, ids, ["doc_id", "th"])
+        return materialize(likely.join(ids, likely["doc_id"].eqNullSafe(ids["doc_id"]) & (likely["th"] == ids["th"])).select("set", "text").dropDuplicates(["set"]), "texts")
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    # each set against the smallest set of the children it shares most with
-    star = shared.where("set <> low").groupBy("set", "low").agg(F.count(F.lit(1)).alias("k")).groupBy("set").agg(F.max(F.struct("k", "low")).alias("best")).select(F.col("set").alias("a"), F.col("best.low").alias("b"))
+    # each set against the smallest set of the children it shares most with, where that is half of its children: this
+    # joins groups of near copies early and decides nothing; pages find whatever it leaves
     sizes = info.select("set", "n")
     sa, sb = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
-    star = star.join(sa, "a").join(sb, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
-    first = materialize(verified(star), "stars")
+    star = shared.where("set <> low").groupBy("set", "low").agg(F.count(F.lit(1)).alias("k")).groupBy("set").agg(F.max(F.struct("k", "low")).alias("best")).select(F.col("set").alias("a"), F.col("best.low").alias("b"), F.col("best.k").alias("k"))
+    star = materialize(star.join(sa, "a").where("8 * k >= na").join(sb, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"), "star")
+    first = materialize(verified(star, texts_of(star.select(F.col("a").alias("set")).union(star.select("b")).distinct())), "stars")
     labels = materialize(connected_components(first).toDF("set", "label"), "labels")
 
-    labelled = shared.select("child", "set").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    mixed = materialize(labelled.select("child", "set", "label", F.min("label").over(of).alias("x"), F.max("label").over(of).alias("y")).where("x <> y").drop("x", "y"), "mixed")
+    # rows that meet a set of another component and of like size under their child: of all sets of other components the
+    # next smaller and the next larger one stand right before and after the row's run of its own label
+    known = sizes.join(labels, "set", "left").select("set", "n", F.coalesce("label", "set").alias("label"))
+    rows = shared.select("child", "set").join(known, "set")
+    for name, order in (("below", [F.col("n"), F.col("set")]), ("above", [F.desc("n"), F.desc("set")])):
+        by = of.orderBy(*order)
+        rows = rows.withColumn("was", F.lag("label").over(by)).withColumn("was_n", F.lag("n").over(by)).withColumn(name, F.last(F.when(F.col("was") != F.col("label"), F.col("was_n")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    mixed = materialize(rows.where("4 * below >= 3 * n or 4 * n >= 3 * above").select("child", "set", "label"), "mixed")
     # two texts that share a passage meet under each of its shingles: of children with the same sets one is enough
     alike = mixed.groupBy("child").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("set", F.lit(1)).cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("set", F.lit(2)).cast("decimal(20,0)")).alias("q"))
     one = materialize(alike.groupBy("k", "p", "q").agg(F.min("child").alias("child")).select("child"), "children")
     live = mixed.join(one, "child")
-    points = texts.join(live.select("set").distinct(), "set", "left_semi").mapInArrow(_points, "set long, n long, point binary")
-    live = live.join(points, "set").select("child", "set", "label", "n", "point")
+    texts = texts_of(live.select("set").distinct())
+    live = live.join(texts.mapInArrow(_points, "set long, n long, point binary"), "set").select("child", "set", "label", "n", "point")
     pages = materialize(live.repartition("child").sortWithinPartitions("child", "n", "set").mapInArrow(_pages(PAGE), "child long, page long, low long, high long, corner binary, sets binary, labels binary, sizes binary, points binary"), "pages")
     pa_, pb = (pages.toDF(*(c if c == "child" else f"{c}_{s}" for c in pages.columns)) for s in "ab")
     met = pa_.join(pb, "child").where("page_a <= page_b and 4 * high_a >= 3 * low_b")
     pairs = met.mapInArrow(_meet, "a long, b long").distinct()
-    second = materialize(verified(pairs), "links")
+    second = materialize(verified(pairs, texts), "links")
     links = first.unionByName(second)
     return signed.select("doc_id", "th", "n", "set"), connected_components(links).toDF("set", "label")
 
