@@ -35,6 +35,11 @@ def corpus():
         texts.append("".join(t))
     for k in (398, 399, 400, 401, 402, 431, 432, 433):
         texts.append(f"<{k}>" + b[50 : 50 + k] + f"<{k}>" + prose(10))
+    for k in (400, 403, 410, 424, 431, 432, 450, 470):  # passages that open or close documents
+        texts += [b[:k] + "#" + prose(20), b[:k] + "%" + prose(20), prose(20) + "#" + b[-k:], "%" + c[-40:] + b[-k:]]
+        texts += [f"{k}:" + a[7 : 7 + k] + "!", a[7 : 7 + k]]
+    long = prose(4000)  # many anchors, some of them a multiple of the run's length apart
+    texts += [long, prose(30) + long[5000:5380] + prose(10), prose(20) + long[9000:9700]]
     return texts + [prose(60) for _ in range(10)]
 
 

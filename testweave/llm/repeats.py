@@ -9,7 +9,7 @@ in one place:
    equal distance, so only windows whose anchor's bucket holds two anchors or more go on.
 2. The windows of one anchor are taken in runs of ``RUN`` neighbouring starts. The bytes that all of a run's windows
    share (its core) make the next bucket, the bytes that any of them has (its span) a finer one. Two equal spans settle
-   the whole run; a core of its own settles it too: no window there is repeated.
+   the whole run (equal spans have equally many starts, fewer where a document's ends cut the run); a core of its own settles it too: no window there is repeated.
 3. Where one core has several spans, each different span is resolved once, start by start, by its windows' hashes.
 
 All counts combine before the shuffle, so a hot passage or a group of copies costs one row a task. Texts move once for
@@ -122,11 +122,12 @@ def _runs(batches):
         high = anchor - RUN * j
         low = high - RUN + 1
         lo, hi = np.maximum(low, off[doc]), np.minimum(high, off[1:][doc] - LENGTH)
-        core = grams(high, low + LENGTH)
+        # with the distance to the anchor, as two anchors a multiple of RUN apart name one and the same run
+        core = mix(grams(high, low + LENGTH) + j.astype(np.uint64))
         cut = ((lo - low) * RUN + (high - hi)).astype(np.uint64)
         span = mix(grams(lo, hi + LENGTH) ^ mix(core + cut))
         rows = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), b["th"].take(rows), pa.array((anchor - off[doc]).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array((lo - off[doc]).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(span.view(np.int64))], names=["doc_id", "th", "at", "j", "lo", "core", "span"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), b["th"].take(rows), pa.array((anchor - off[doc]).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array((lo - off[doc]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(span.view(np.int64))], names=["doc_id", "th", "at", "j", "lo", "size", "core", "span"])
 
 
 def _starts(batches):
@@ -182,8 +183,8 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = anchors.join(shared, "bucket").groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats"))
     active = materialize(docs.join(live, same(docs, live)).select(docs["doc_id"], docs["th"], "text", "ats"), "active")
 
-    runs = materialize(active.mapInArrow(_runs, "doc_id long, th long, at int, j int, lo int, core long, span long"), "runs")
-    spans = materialize(runs.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "at", "j", "lo")).alias("one")), "spans")
+    runs = materialize(active.mapInArrow(_runs, "doc_id long, th long, at int, j int, lo int, size int, core long, span long"), "runs")
+    spans = materialize(runs.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min(F.struct("doc_id", "th", "at", "j", "lo")).alias("one")), "spans")
     mixed = materialize(spans.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core"), "cores")
     open_ = spans.join(mixed, "core").select("one.*", "span", "n").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "j", "lo", "span", "n")).alias("runs"))
     texts = active.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"])
@@ -191,7 +192,7 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = materialize(met.mapInArrow(_starts, "window long, span long, bit int, n long"), "starts")
     twice = materialize(starts.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "windows")
     some = starts.join(twice, "window").groupBy("span").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    full = spans.where("n > 1").select("span", F.lit((1 << RUN) - 1).cast("long").alias("bits"))
+    full = spans.where("n > 1").select("span", (F.expr("shiftleft(1L, size)") - 1).alias("bits"))
     bits = materialize(full.unionByName(some).groupBy("span").agg(F.bit_or("bits").alias("bits")), "bits")
     covered = runs.join(bits, "span").groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "bits")).alias("runs"))
     return active, covered
