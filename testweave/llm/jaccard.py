@@ -13,9 +13,9 @@ of a page's points from above by the page's upper corner. A pair must overlap in
   and corners; points within by their own bounds.
 * What passes is verified on the whole texts.
 
-Equal sets are one point from the start. Before pages meet, each set is verified against the smallest set of the child
-that it shares most with; sets so linked form components, and pages drop pairs within one component. A group of k near
-copies therefore costs about k verifications, not k squared, and no link between different components is lost.
+Equal sets are one point from the start. Before pages meet, each set is verified against one hub, the best connected set
+of those it meets; sets so linked form components, and pages drop pairs within one component. A group of k near copies of
+one original therefore costs about k verifications, not k squared, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -225,7 +225,7 @@ def near_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = signed.where("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "th", "n", "keys")).alias("one")).select("set", "one.*")
     children = reps.select("set", "keys").mapInArrow(_children, "child long, set long")
     of = W.partitionBy("child")
-    shared = materialize(children.select("child", "set", F.min("set").over(of).alias("low"), F.max("set").over(of).alias("high")).where("low <> high").drop("high"), "shared")
+    shared = materialize(children.select("child", "set", F.min("set").over(of).alias("low"), F.max("set").over(of).alias("high")).where("low <> high").drop("low", "high"), "shared")
 
     involved = shared.select("set").distinct()
     info = materialize(signed.select("doc_id", "th", "n", "set").join(involved, "set").groupBy("set").agg(F.min(F.struct("doc_id", "th", "n")).alias("one")).select("set", "one.*"), "sets")
@@ -240,11 +240,14 @@ def near_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         b = texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    # each set against the smallest set of the children it shares most with, where that is half of its children: this
-    # joins groups of near copies early and decides nothing; pages find whatever it leaves
+    # each set against a hub, the set of most shared children among those that it meets, where it meets that one under half
+    # of its children. An original shares all its shingles with its copies while they don't share their edits, so hubs are
+    # originals, and copies too unlike each other still join through them. This decides nothing: pages find what it leaves
+    degree = shared.groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = shared.join(degree, "set").select("set", F.max(F.struct("degree", "set")).over(of)["set"].alias("hub"))
     sizes = info.select("set", "n")
     sa, sb = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
-    star = shared.where("set <> low").groupBy("set", "low").agg(F.count(F.lit(1)).alias("k")).groupBy("set").agg(F.max(F.struct("k", "low")).alias("best")).select(F.col("set").alias("a"), F.col("best.low").alias("b"), F.col("best.k").alias("k"))
+    star = hubs.where("set <> hub").groupBy("set", "hub").agg(F.count(F.lit(1)).alias("k")).groupBy("set").agg(F.max(F.struct("k", "hub")).alias("best")).select(F.col("set").alias("a"), F.col("best.hub").alias("b"), F.col("best.k").alias("k"))
     star = materialize(star.join(sa, "a").where("8 * k >= na").join(sb, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"), "star")
     first = materialize(verified(star, texts_of(star.select(F.col("a").alias("set")).union(star.select("b")).distinct())), "stars")
     labels = materialize(connected_components(first).toDF("set", "label"), "labels")
