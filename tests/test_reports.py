@@ -25,6 +25,10 @@ def test_xml():
     assert R.parse_xml("<testsuite><testcase name='x'><failure/></testcase></testsuite>")[0]["failure"] is None
 
 
+def test_entities():
+    assert R.decode_entities("&#65;&#x42;&lt;&amp;lt;&copy;&#1114112;") == "AB<&lt;&copy;\ufffd"
+
+
 @pytest.mark.parametrize("text", ["", "  ", "plain", "<html></html>", "<testsuite><testcase name='a'>", "<<<<<<< HEAD\n"])
 def test_bad_xml(text):
     with pytest.raises(R.ReportError):

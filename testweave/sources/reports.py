@@ -6,7 +6,6 @@ one row with ``error`` set, so nothing fails and nothing is lost; ``ordinal`` ke
 
 from __future__ import annotations
 
-import html
 import io
 import json
 import re
@@ -23,8 +22,8 @@ from ..functions.text import normalize_failure
 from ..schema import HUNKS, PARSED
 
 #: Default patterns of report files, folders that are never searched.
-PATTERNS = ("**/junit*.xml", "**/*junit.xml", "**/TEST-*.xml", "**/test-results/**/*.xml", "**/surefire-reports/*.xml", "**/test-results.xml", "**/report.xml")
-SKIPPED = (".git", "node_modules", "vendor", ".venv", "venv", "__pycache__", ".tox", ".cache")
+PATTERNS = ("**/junit*.xml", "**/TEST-*.xml")
+SKIPPED = ("node_modules", ".git", ".hg", ".svn", ".venv", "venv", "__pycache__", ".testweave")
 _OPAQUE = ("failure", "error", "flakyFailure", "flakyError", "rerunFailure", "rerunError", "system-out", "system-err", "skipped")
 _RETRIES = ("flakyFailure", "flakyError", "rerunFailure", "rerunError")
 _TAG = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|<[?!][^>]*>|<(/?)([A-Za-z_][\w.:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.DOTALL)
@@ -36,15 +35,28 @@ class ReportError(ReportParseError):
     """A report that cannot be read."""
 
 
+def _character(code: int) -> str:
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+
+def decode_entities(s: str) -> str:
+    """Numeric references, then the five named ones, the ampersand last; other names stay as they are."""
+    s = re.sub(r"&#([0-9]+);", lambda m: _character(int(m[1])), s)
+    s = re.sub(r"&#x([0-9A-Fa-f]+);", lambda m: _character(int(m[1], 16)), s)
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        s = s.replace(f"&{name};", c)
+    return s
+
+
 def clean_body(raw: str | None) -> str | None:
     """Text of an opaque element: entities decoded, captured output and wrappers dropped; blank is none."""
     if raw is None:
         return None
     parts, at = [], 0
     for m in re.finditer(r"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", raw, re.DOTALL):
-        parts += [html.unescape(raw[at : m.start()]), m[1]]
+        parts += [decode_entities(raw[at : m.start()]), m[1]]
         at = m.end()
-    text = "".join(parts) + html.unescape(raw[at:])
+    text = "".join(parts) + decode_entities(raw[at:])
     text = re.sub(r"<system-(out|err)>.*?</system-\1>|<system-(?:out|err)\s*/>|</?stackTrace>", "", text, flags=re.DOTALL | re.IGNORECASE)
     return text.strip() or None
 
@@ -59,7 +71,7 @@ def _events(text: str) -> Iterator[tuple[str, str, dict, str | None]]:
         if m[1]:
             yield "close", m[2], {}, None
             continue
-        attributes = {k: html.unescape(a or b) for k, a, b in _ATTRIBUTE.findall(m[3])}
+        attributes = {k: decode_entities(a or b) for k, a, b in _ATTRIBUTE.findall(m[3])}
         body = None
         if m[2] in _OPAQUE and not m[4]:
             end = re.compile(rf"</{re.escape(m[2])}\s*>").search(text, at)
