@@ -1,3 +1,5 @@
+import itertools
+
 import duckdb
 import pytest
 
@@ -47,3 +49,19 @@ def test_values(rows):
     for i, (label, _, _) in enumerate(TEMPLATES):
         assert label in by[10 + i].labels.split(",")
     assert scan_licenses(rows.limit(0)).count() == 0
+
+
+def test_files_of_several_notices(spark):
+    notices = {label: notice for label, notice, _ in TEMPLATES}
+    groups = [(label,) for label in notices] + list(itertools.combinations(notices, 2)) + list(itertools.combinations(notices, 3)) + [tuple(notices)]
+    texts = ["\n".join(notices[label] for label in g) for g in groups]
+    # a notice at the end of a long text that holds a dozen rarer template words before it
+    texts.append("obtaining charge redistribution modification conditions provided permitted forms attribution creative unencumbered mozilla domain released " + "of the and to " * 500 + notices["lgpl"])
+    # key phrase without any of the anchors
+    texts.append("a Creative Commons Attribution 4.0 notice")
+    groups += [("lgpl",), ("cc-by",)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    for i, g in enumerate(groups):
+        assert set(g) <= set(got[i].labels.split(",")), (g, got[i].labels)
+        assert 0 < got[i].score <= 1

@@ -4,7 +4,9 @@ Templates (short notices of known licences) are indexed by word: postings say in
 word stands. For the corpus, the document frequency of every template word is counted over all rows. Each file then
 looks up its ``LOOKUPS`` words of highest inverse document frequency, intersects their postings by relative position
 (place in the file less place in the template: words of one notice agree on it), and a template with at least two
-agreeing places becomes a label if the file also holds all its mandatory key phrases, consecutively.
+agreeing places becomes a label if the file also holds all its mandatory key phrases, consecutively. A file of several
+notices can spend its look-ups on some of them: a template whose key phrases stand in the file, but which the looked-up
+words left unsettled, is looked up again by all of its words, so no verified notice is lost to the number of look-ups.
 
 The corpus is read twice, once for the frequencies (one row per template word comes out, a bound by the templates),
 once for the scan itself, which handles each row alone with array functions: no text is shuffled, and a hot source or
@@ -13,6 +15,8 @@ copy group costs nothing extra.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ AGREE = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEMPLATE_WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
-#: Words that open the scan: a notice holds one at least of those that few texts have by chance.
+#: Words that open the first look-up: most notices hold one of those that few texts have by chance; key phrases open the second.
 _ANCHORS = ("license", "licensed", "licence", "cc", "gnu", "redistribution", "permission", "unencumbered", "mozilla", "apache", "mit")
 
 
@@ -65,9 +69,9 @@ def word_frequencies(norms: DataFrame) -> dict[str, int]:
     return {r["w"]: r["n"] for r in norms.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _offsets(posting: Column) -> Column:
+def _offsets(hits: str, posting: Column) -> Column:
     """Place in the file less place in the template, for every looked-up word and posting."""
-    known = F.filter("hits", lambda h: F.map_contains_key(posting, h["w"]))
+    known = F.filter(hits, lambda h: F.map_contains_key(posting, h["w"]))
     return F.flatten(F.transform(known, lambda h: F.transform(posting[h["w"]], lambda t: h["at"] - t)))
 
 
@@ -75,7 +79,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
     ``score`` is the share of a verified template's looked-up places that agree on one relative position (the best
-    template's), and 0.5 at least where a base phrase stands. A null text counts as empty: no words, no labels, score 0.
+    template's; by the rarest words where they settle it, by all its words otherwise), and 0.5 at least where a base
+    phrase stands. A null text counts as empty: no words, no labels, score 0.
     Repeated rows give equal values; a null id stays null; other columns are ignored; an empty table gives none.
     """
     norms = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal(F.col(text_col).cast("string")).alias("norm"))
@@ -100,29 +105,38 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a file's words by place, and its rarest template words
     words = F.split("norm", " ")
     rows = rows.withColumn("rare", F.when(F.col("open"), F.slice(F.filter(by_rank, lambda w: F.array_contains(words, w)), 1, LOOKUPS)))
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains(F.col("rare"), h["w"]))
-    rows = rows.withColumn("hits", F.when(F.col("open"), hits))
+    hits = lambda among: F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains(among, h["w"]))
+    rows = rows.withColumn("hits", F.when(F.col("open"), hits(F.col("rare"))))
 
-    found, shares = [], []
-    for label, notice, keys in TEMPLATES:
+    def agreeing(hits: str, notice: str) -> Column:
         places = notice.split()
         posting = F.map_from_arrays(F.array(*map(F.lit, dict.fromkeys(places))), F.array(*(F.array(*(F.lit(i) for i, w in enumerate(places) if w == word)) for word in dict.fromkeys(places))))
-        offsets = F.array_sort(_offsets(posting))
+        offsets = F.array_sort(_offsets(hits, posting))
         zero = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
         def step(acc, x):
             run = F.when(acc["last"].eqNullSafe(x), acc["run"] + 1).otherwise(1)
             return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-        best = F.aggregate(offsets, zero, step, lambda acc: acc["best"])
-        looked = F.size(F.filter(F.array(*map(F.lit, places)), lambda w: F.array_contains(F.col("rare"), w)))
+        return F.aggregate(offsets, zero, step, lambda acc: acc["best"])
+
+    for label, notice, keys in TEMPLATES:
         keyed = n.rlike(_whole([keys[0]]))
         for k in keys[1:]:
             keyed = keyed & n.rlike(_whole([k]))
-        agreed = F.when(F.col("open") & keyed, best).otherwise(0)
-        rows = rows.withColumn(f"agreed_{label}", agreed)
-        found.append(F.when(F.col(f"agreed_{label}") >= AGREE, F.lit(label)))
-        shares.append(F.when(F.col(f"agreed_{label}") >= AGREE, F.col(f"agreed_{label}") / looked).otherwise(0.0))
+        rows = rows.withColumn(f"keyed_{label}", keyed)
+        rows = rows.withColumn(f"agreed_{label}", F.when(F.col("open") & F.col(f"keyed_{label}"), agreeing("hits", notice)).otherwise(0))
+    # templates whose key phrases stand there without agreement: all template words of the file, however many
+    unsettled = {label: F.col(f"keyed_{label}") & (F.col(f"agreed_{label}") < AGREE) for label, _, _ in TEMPLATES}
+    rows = rows.withColumn("every", F.when(reduce(Column.__or__, unsettled.values()), hits(by_rank)))
+
+    found, shares = [], []
+    for label, notice, _ in TEMPLATES:
+        looked = lambda among: F.size(F.filter(F.array(*map(F.lit, notice.split())), lambda w: F.array_contains(among, w)))  # noqa: B023, E731
+        rows = rows.withColumn(f"again_{label}", F.when(unsettled[label], agreeing("every", notice)).otherwise(0))
+        first, again = F.col(f"agreed_{label}"), F.col(f"again_{label}")
+        found.append(F.when((first >= AGREE) | (again >= AGREE), F.lit(label)))
+        shares.append(F.when(first >= AGREE, first / looked(F.col("rare"))).when(again >= AGREE, again / looked(words)).otherwise(0.0))
     labels = F.array_join(F.array_sort(F.array_union("base", F.array_compact(F.array(*found)))), ",")
     floor = F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), labels.alias("labels"), F.round(F.least(F.lit(1.0), F.greatest(floor, *shares)), 6).alias("score"))
