@@ -56,3 +56,31 @@ def test_documents(spark):
     masked = {r.doc_id: r.text for r in mask_secrets(docs).collect()}
     assert masked[0] is None and masked[1] == "" and masked[6] == "the private key follows: <secret> here" and masked[7] == TEXTS[7] and "7602ad" not in masked[2]
     assert find_secrets(docs.limit(0)).count() == 0 and mask_secrets(docs.limit(0)).count() == 0
+
+
+def test_values_of_assignments(spark):
+    value = "Zx81kLmQ09pRt7uVw3yB5nC2dF4gH6jK"
+    cases = [
+        ("export AWS_SECRET_ACCESS_KEY=", value, "\n"),
+        ("private_key=", value + "==", " and more"),
+        ("private_key==", value, ""),
+        ("GET /cb?auth=", value, "&page=2 HTTP/1.1"),
+        ("https://x.example/cb?a=1&signature=", value + "=", ""),
+        ("auth=credential=", value, ";"),
+        ("private_key = ", value, ""),
+        ("the private key: ", value + "=", " here"),
+        ("private_key=", "Zx81kLmQ09pRt7u=Vw3yB5nC2dF4gH6jK", ""),  # parts too short by themselves
+        ("the private key: ", "Zx81kLmQ09pRt7u=Vw3yB5nC2dF4gH6jK", " here"),
+    ]
+    for before, own, after in cases:
+        spans = scan(before + own + after, Novelty())[1]
+        if before.startswith("the private key") and "=V" in own:
+            assert spans and spans[0][1] == 3, before
+        else:
+            assert spans == [(len(before), 3, len(before) + len(own))], (before, spans)
+    two = f"private_key={value}=Qw7eRt2yUi9oPa4sDf6gHj1kLz3xCv8b"
+    assert len(scan(two, Novelty())[1]) == 2
+    for plain_text in (f"ordinary_word={value}", "private_key=" + "credentials_of_the_database_connection_string_1", "private_key=short1="):
+        assert scan(plain_text, Novelty())[1] == []
+    docs = spark.createDataFrame([(i, b + o + a) for i, (b, o, a) in enumerate(cases[:8])], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in mask_secrets(docs).collect()} == {i: b + "<secret>" + a for i, (b, o, a) in enumerate(cases[:8])}

@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and strings whose bytes a primed compressor cannot explain.
 
 Besides the three base kinds, every long token of letters and digits that stands in a sensitive context (a word such as
-``key`` or ``credential`` shortly before it) is a candidate. Its novelty is its marginal cost: the bytes by which
+``key`` or ``credential`` shortly before it) is a candidate; of NAME=VALUE it is the value, and the name is context.
+Its novelty is its marginal cost: the bytes by which
 zstandard's output grows when the token is put back between its neighbours, with a dictionary of identifiers as history.
 Ordinary words and identifiers cost little since the dictionary or the context has them; random material costs nearly
 its entropy and is reported as kind ``novel``.
@@ -29,6 +30,8 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: A part of a candidate that holds no '=', but for padding at its end.
+VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 CONTEXT = re.compile(r"key|token|secret|passw|credential|auth|private|bearer|signature|access", re.IGNORECASE | re.ASCII)
 BEFORE, AROUND, RATE = 48, 160, 0.6
 
@@ -57,6 +60,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def readings(text: str, start: int, end: int) -> list[list[tuple[int, int]]]:
+    """What may be the secret in a candidate, most exact first: values between '=', all after the first '=', the whole."""
+    whole = (start, end)
+    if "=" not in text[start:end]:
+        return [[whole]]
+    values = [m.span() for m in VALUE.finditer(text, start, end)]
+    after = text.index("=", start, end) + 1
+    while after < end and text[after] == "=":
+        after += 1
+    rest = [(after, end)] if CANDIDATE.fullmatch(text[after:end]) else []
+    return [g for g in (values, rest, [whole]) if g]
+
+
 class Novelty:
     """Marginal compressed bytes of a string between its neighbours."""
 
@@ -77,11 +93,11 @@ class Novelty:
             return []
         found = []
         for m in CANDIDATE.finditer(text):
-            s, e = m.span()
-            if any(b[0] < e and s < b[2] for b in base) or not CONTEXT.search(text, max(0, s - BEFORE), s):
-                continue
-            if self.rate(text, s, e) >= RATE:
-                found.append((s, 3, e))
+            for group in readings(text, *m.span()):
+                own = [(s, 3, e) for s, e in group if not any(b[0] < e and s < b[2] for b in base) and CONTEXT.search(text, max(0, s - BEFORE), s) and self.rate(text, s, e) >= RATE]
+                if own:
+                    found += own
+                    break
         return found
 
 
