@@ -76,3 +76,28 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.schema.simpleString() == docs.schema.simpleString() and out.count() == 0
+
+
+def test_one_of_repeated_rows_and_null_ids(spark, tmp_path):
+    rng = random.Random(3)
+    prose = lambda: [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    same, other, near, alone, mixed = (prose() for _ in range(5))
+    linked = lambda words: " ".join([*words[:-1], "changed"])
+    a, b, c, d, e = map(" ".join, (same, other, near, alone, mixed))
+    rows = [(1, a), (1, a), (2, a)]  # equal rows and a copy
+    rows += [(3, c), (3, linked(near)), (4, c)]  # linked rows of one id
+    rows += [(None, b), (None, b), (None, linked(other))]  # ids all null
+    rows += [(None, e), (9, e), (9, e)]
+    rows += [(1, d)]  # another document under an id that was used before
+    rows += [(5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    words = sorted((str(i), t) for i, t in out if t)
+    assert len(words) == 5 and [w for w in words if w[0] != "3"] == sorted([("1", a), ("1", d), ("None", min((b, linked(other)), key=lambda t: (t not in {x for _, x in out}, t))), ("9", e)])
+    assert [t in (c, linked(near)) for i, t in out if i == 3] == [True]
+    assert sorted(((i, t) for i, t in out if not t), key=str) == sorted([(5, ""), (5, ""), (None, None)], key=str)
+    # nothing is left for the next stage to cut
+    cut = corpus_pipeline.repeated_passages(spark, kept, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in cut if r.text), key=str) == sorted(((i, t) for i, t in out if t), key=str)

@@ -276,16 +276,16 @@ def near_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) for each row."""
+    """(doc_id, th, n_shingles, component_id, label) for each row; label tells components apart that have the same smallest id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed, labels = near_sets(rows)
     least = signed.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least")).join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = materialize(least, "least")
     whole = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = least.join(whole, "label").select("set", "component_id")
+    by_set = least.join(whole, "label").select("set", "component_id", "label")
     out = signed.join(by_set, "set", "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,13 +295,29 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reachable, the document's own if it has no links. Rows that repeat an id count as documents of their own; a null id
     takes part and never is a component's id unless all are null. Other columns are ignored; an empty table gives none.
     """
-    return _classes(docs, id_col, text_col).drop("th")
+    return _classes(docs, id_col, text_col).drop("th", "label")
 
 
 def drop_near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, of which each group of linked ones keeps the smallest id; texts without words stay, null ids go where a group has others."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = _classes(docs, id_col, text_col)
-    gone = found.where("n_shingles > 0 and not (component_id <=> doc_id)").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(text) == gone["_th"]), "left_anti")
-    return kept
+    """The rows of ``docs``, all their columns, of which each group of linked ones keeps exactly one; texts without words stay.
+
+    It is a row of the smallest id (a null one only where all are null), of its texts the one of smallest hash, and any
+    one of the rows that are equal in both.
+    """
+    found = _classes(docs, id_col, text_col).where("n_shingles > 0")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    keys = found.join(first, "label").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    keys = materialize(keys.where("not _stays or _rows > 1").select("_id", "_th", "_stays"), "gone")
+
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_th": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+
+    def among(part: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return part.join(keys, part["_id"].eqNullSafe(keys["_id"]) & (part["_th"] == keys["_th"]), how)
+
+    kept = among(rows, keys, "left_anti").select(docs.columns)
+    again = keys.where("_stays").select("_id", "_th")
+    if again.isEmpty():
+        return kept
+    one = among(filtered(rows, again, ["_id", "_th"]), again, "left_semi").dropDuplicates(["_id", "_th"])
+    return kept.unionByName(one.select(docs.columns))
