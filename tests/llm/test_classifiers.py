@@ -106,3 +106,18 @@ def test_passages_cover_whole_texts():
     data, off = quality.text_buffers(pa.array(["", None, "ab" * 700, "x"]))
     x, counts = quality.encode_passages(data, off)
     assert counts.tolist() == [1, 1, 3, 1] and x[:, -1].tolist() == [0, 0, 1, 1, np.float32(376 / 512), np.float32(1 / 512)]
+
+
+def test_passages_of_every_row(spark):
+    docs, labels = frames(spark)
+    model = toxicity.fit(docs, labels)
+    model.curve = np.array([-30.0, 0.0, 0.0, 0.0])  # every document scores low, whatever it holds
+    clean = " ".join(random.Random(1).choice(CLEAN) for _ in range(3000))
+    text = clean + " idiot moron stupid loser " + clean
+    rows = spark.createDataFrame([(1, text), (2, "idiot moron stupid loser"), (3, clean), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(rows, model).collect()}
+    assert all(r.predicted == 0 and r.score < 0.5 for r in got.values())
+    spans = [tuple(map(int, s.split(":"))) for s in got[1].passages.split(",")]
+    assert any("idiot moron stupid loser" in text[a:b] for a, b in spans)
+    assert got[2].passages and got[3].passages == "" and got[4].passages == ""
+    assert all(r.passages == ",".join(f"{a}:{b}" for a, b, _ in model.passages(t or "")) for r, t in ((got[1], text), (got[4], None)))

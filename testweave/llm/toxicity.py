@@ -83,32 +83,37 @@ class Toxicity:
     def scores(self, text: str) -> np.ndarray:
         return np.array([self.token(t) for t in TOKEN.findall(text.lower())])
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Normalised score of the best segment, log of one plus the significant ones' sum, and their share of the text."""
-        s = self.scores(text)
+    def measured(self, s: np.ndarray) -> tuple[tuple[float, float, float], list[tuple[int, int, float]]]:
+        """The features of a text's token scores, and its significant segments."""
         if not len(s):
-            return 0.0, 0.0, 0.0
+            return (0.0, 0.0, 0.0), []
         found = segments(s)
         best = max((f[2] for f in found), default=0.0)
         limit = self.limit(len(s))
         strong = [f for f in found if f[2] >= limit]
-        return max(-5.0, min(40.0, self.lam * best - math.log(max(self.k * len(s), 1e-9)))), math.log1p(sum(f[2] for f in strong)), math.log1p(100.0 * sum(f[2] for f in strong) / (len(s) + 20.0))
+        own = max(-5.0, min(40.0, self.lam * best - math.log(max(self.k * len(s), 1e-9)))), math.log1p(sum(f[2] for f in strong)), math.log1p(100.0 * sum(f[2] for f in strong) / (len(s) + 20.0))
+        return own, strong
+
+    def features(self, text: str) -> tuple[float, float, float]:
+        """Normalised score of the best segment, log of one plus the significant ones' sum, and their share of the text."""
+        return self.measured(self.scores(text))[0]
 
     def limit(self, n: int) -> float:
         """The segment sum that a clean text of n tokens reaches with probability ``SIGNIFICANT``."""
         return max(0.0, (math.log(max(self.k * n, 1e-9)) - math.log(-math.log1p(-SIGNIFICANT))) / self.lam)
 
+    def read(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score, and the significant segments as (start, end, sum), in code points of the lowered text; tokens are scored once."""
+        own, strong = self.measured(self.scores(text))
+        x = self.curve[0] + float(np.dot(self.curve[1:], own))
+        spans = [m.span() for m in TOKEN.finditer(text.lower())] if strong else []
+        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, x)))), [(spans[a][0], spans[b - 1][1], w) for a, b, w in strong]
+
     def score(self, text: str) -> float:
-        x = self.curve[0] + float(np.dot(self.curve[1:], self.features(text)))
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, x))))
+        return self.read(text)[0]
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
-        """Significant segments as (start, end, sum), in code points of the lowered text."""
-        low = text.lower()
-        spans = [m.span() for m in TOKEN.finditer(low)]
-        s = np.array([self.token(low[a:b]) for a, b in spans])
-        limit = self.limit(len(s)) if len(s) else 0.0
-        return [(spans[a][0], spans[b - 1][1], w) for a, b, w in segments(s) if w >= limit]
+        return self.read(text)[1]
 
 
 def solve_lambda(s: np.ndarray) -> float:
@@ -206,9 +211,9 @@ def score_toxicity(docs: DataFrame, model: Toxicity, fold: int = 5, rest: int =
     def run(batches):
         m = shared.value
         for b in slices(batches):
-            texts = [t or "" for t in b["text"].to_pylist()]
-            score = [m.score(t) for t in texts]
-            spans = [",".join(f"{a}:{e}" for a, e, _ in m.passages(t)) if s >= 0.5 else "" for t, s in zip(texts, score)]
+            found = [m.read(t or "") for t in b["text"].to_pylist()]
+            score = [s for s, _ in found]
+            spans = [",".join(f"{a}:{e}" for a, e, _ in p) for _, p in found]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(score, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "score", "passages"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
