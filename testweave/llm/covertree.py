@@ -7,8 +7,8 @@ no pair in range, so the links are exact.
 
 Distribution: the top of the tree is built on the driver from a bounded sample (``SAMPLE`` vectors) and only routes:
 every vector goes to the cell of a top node, whose covering radius is then aggregated over all its vectors. Cells are
-split into blocks of about ``BLOCK`` vectors by hash, pairs of cells that the bound keeps become pairs of blocks, and a
-task takes one pair of blocks, builds their lower trees and traverses them together. Copies of one vector are a single
+split into blocks of about ``BLOCK`` vectors by hash, each block's tree is built once and travels with it whole, pairs of
+cells that the bound keeps become pairs of blocks, and a task takes one pair of blocks and traverses their trees together. Copies of one vector are a single
 point with a count, so a vector that a third of the rows share costs one point.
 
 In data without neighbourhoods (random directions in 64 dimensions) covering radii exclude nothing but single points,
@@ -30,7 +30,9 @@ MAX_CELLS = 256
 BLOCK = 4096
 LEAF = 48
 SLACK = 1e-9
-BLOCK_COLUMNS = ("ids", "ns", "xs", "centres", "order", "cuts", "radii", "level")
+BLOCK_COLUMNS = ("ids", "ns", "xs", "order", "nodes")
+#: A tree's nodes in preorder: centre, rows below, children, covering radius, the level's radius.
+NODE = np.dtype([("centre", "<i8"), ("rows", "<i8"), ("children", "<i8"), ("radius", "<f8"), ("level", "<f8")])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -98,58 +100,92 @@ class Node:
             self._below = [Node(self.x, int(self.rows[c]), self.rows[order[cuts[i] : cuts[i + 1]]], half) for i, c in enumerate(at)]
         return self._below
 
-    def top(self) -> dict[str, bytes]:
-        """The first level as bytes, so that a tree is built once and travels with its block."""
-        if self.leaf:
-            return {"centres": b"", "order": b"", "cuts": b"", "radii": b"", "level": b""}
-        b = self.below()
-        sizes = np.cumsum([0, *(len(n.rows) for n in b)])
-        return {"centres": np.array([n.centre for n in b], np.int64).tobytes(), "order": np.concatenate([n.rows for n in b]).astype(np.int64).tobytes(), "cuts": sizes.astype(np.int64).tobytes(), "radii": np.array([n.radius for n in b]).tobytes(), "level": np.array([b[0].level]).tobytes()}
+    def whole(self) -> tuple[bytes, bytes]:
+        """The tree down to its leaves as bytes (rows in preorder, nodes), so that it is built once and travels with its block."""
+        nodes: list[tuple] = []
+        order: list[np.ndarray] = []
+
+        def walk(n: Node):
+            below = [] if n.leaf else n.below()
+            nodes.append((n.centre, len(n.rows), len(below), n.radius, n.level))
+            if below:
+                for c in below:
+                    walk(c)
+            else:
+                order.append(n.rows)
+
+        walk(self)
+        return np.concatenate(order).astype(np.int64).tobytes(), np.array(nodes, NODE).tobytes()
 
     @classmethod
-    def of(cls, x: np.ndarray, top: dict[str, bytes]) -> Node:
-        root = cls(x, 0, np.arange(len(x)), 2.0)
-        if top["centres"]:
-            at, order, cuts = (np.frombuffer(top[k], np.int64) for k in ("centres", "order", "cuts"))
-            radii, level = np.frombuffer(top["radii"]), float(np.frombuffer(top["level"])[0])
-            root._below = [cls(x, int(c), order[cuts[i] : cuts[i + 1]], level, float(radii[i])) for i, c in enumerate(at)]
-        return root
+    def of(cls, x: np.ndarray, order: bytes, nodes: bytes) -> Node:
+        rows, table = np.frombuffer(order, np.int64), np.frombuffer(nodes, NODE).tolist()
+        at = start = 0
+
+        def read() -> Node:
+            nonlocal at, start
+            centre, size, children, radius, level = table[at]
+            at += 1
+            node = cls(x, centre, rows[start : start + size], level, radius)
+            if children:
+                node._below = [read() for _ in range(children)]
+            else:
+                start += size
+            return node
+
+        return read()
 
 
 def dual_pairs(a: Node, b: Node, limit: float):
     """Yield (rows of a, rows of b) with cosine >= ``limit``, by descending both trees at once; for a is b every pair comes in both directions.
 
-    Nodes that hold one vector meet in products of single precision with a margin; what passes is measured in double.
+    What no bound excludes meets in products of single precision with a margin, a leaf with all the leaves that it
+    reaches at once; what passes is measured in double precision.
     """
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * limit)))
     x, y = a.x, b.x
     x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    close = np.float32(limit - 1e-5)
+
+    def exact(r: np.ndarray, q: np.ndarray):
+        for s in range(0, len(r) * bool(len(q)), 512):
+            i, j = np.divmod(np.flatnonzero(x32[r[s : s + 512]] @ y32[q].T >= close), len(q))
+            i, j = r[s + i], q[j]
+            hit = np.einsum("ij,ij->i", x[i], y[j]) >= limit
+            if hit.any():
+                yield i[hit], j[hit]
+
+    def met(few: list[Node], many: list[Node], u: np.ndarray, v: np.ndarray):
+        """(node of ``few``, rows of the leaves of ``many`` that it meets as a leaf, the other nodes that it reaches)."""
+        radii, centres = np.array([n.radius for n in many]), [n.centre for n in many]
+        leaves = np.array([n.leaf for n in many])
+        flat = np.concatenate([n.rows for n in many])
+        owner = np.repeat(np.arange(len(many)), [len(n.rows) for n in many])
+        for s in range(0, len(few), 512):
+            some = few[s : s + 512]
+            near = _dist(u[[n.centre for n in some]], v[centres]) <= np.array([n.radius for n in some])[:, None] + radii[None, :] + reach + SLACK
+            for n, row in zip(some, near):
+                at_once = row & leaves & n.leaf
+                yield n, flat[at_once[owner]], [many[k] for k in np.flatnonzero(row & ~at_once)]
+
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
         if p.leaf and q.leaf:
-            i, j = np.nonzero(x[p.rows] @ y[q.rows].T >= limit)
-            if len(i):
-                yield p.rows[i], q.rows[j]
+            yield from exact(p.rows, q.rows)
             continue
         ps = [p] if p.leaf else p.below()
         qs = [q] if q.leaf else q.below()
-        p1, q1 = [n for n in ps if len(n.rows) == 1], [n for n in qs if len(n.rows) == 1]
-        pm, qm = [n for n in ps if len(n.rows) > 1], [n for n in qs if len(n.rows) > 1]
-        for left, right in ((pm, qs), (p1, qm)):
-            if left and right:
-                lr, rr = np.array([n.radius for n in left]), np.array([n.radius for n in right])
-                lc, rc = [n.centre for n in left], [n.centre for n in right]
-                for s in range(0, len(left), 512):
-                    i, j = np.nonzero(_dist(x[lc[s : s + 512]], y[rc]) <= lr[s : s + 512, None] + rr[None, :] + reach + SLACK)
-                    stack += [(left[k + s], right[m]) for k, m in zip(i.tolist(), j.tolist())]
-        lc, rc = np.array([n.centre for n in p1], int), np.array([n.centre for n in q1], int)
-        for s in range(0, len(lc) * bool(len(rc)), 512):
-            i, j = np.divmod(np.flatnonzero(x32[lc[s : s + 512]] @ y32[rc].T >= np.float32(limit - 1e-5)), len(rc))
-            i, j = lc[s + i], rc[j]
-            hit = np.einsum("ij,ij->i", x[i], y[j]) >= limit
-            if hit.any():
-                yield i[hit], j[hit]
+        (pm, p1), (qm, q1) = (([n for n in side if len(n.rows) > 1], [n for n in side if len(n.rows) == 1]) for side in (ps, qs))
+        if pm:
+            for n, rows, others in met(pm, qs, x, y):
+                yield from exact(n.rows, rows)
+                stack += [(n, m) for m in others]
+        if p1 and qm:
+            for n, rows, others in met(qm, p1, y, x):
+                yield from exact(rows, n.rows)
+                stack += [(m, n) for m in others]
+        yield from exact(*(np.array([n.centre for n in side], int) for side in (p1, q1)))
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -172,8 +208,8 @@ def _pack(key, t):
     ids, n = t["rep"].to_numpy().astype(np.int64), t["copies"].to_numpy().astype(np.int64)
     order = np.argsort(ids)
     x = unit(x)[order]
-    top = Node(x, 0, np.arange(len(x)), 2.0).top()
-    return pa.table({"dim": pa.array([row[0]], pa.int32()), "cell": pa.array([row[1]], pa.int32()), "chunk": pa.array([row[2]], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "ns": pa.array([n[order].tobytes()], pa.binary()), "xs": pa.array([x.tobytes()], pa.binary()), **{k: pa.array([v], pa.binary()) for k, v in top.items()}})
+    order_, nodes = Node(x, 0, np.arange(len(x)), 2.0).whole()
+    return pa.table({"dim": pa.array([row[0]], pa.int32()), "cell": pa.array([row[1]], pa.int32()), "chunk": pa.array([row[2]], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "ns": pa.array([n[order].tobytes()], pa.binary()), "xs": pa.array([x.tobytes()], pa.binary()), "order": pa.array([order_], pa.binary()), "nodes": pa.array([nodes], pa.binary())})
 
 
 def _join_blocks(limit: float):
@@ -182,7 +218,7 @@ def _join_blocks(limit: float):
         for r in sorted(t.to_pylist(), key=lambda r: r["side"]):
             ids, n = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ns"], np.int64)
             x = np.frombuffer(r["xs"], np.float64).reshape(len(ids), -1)
-            sides.append((ids, n, Node.of(x, r)))
+            sides.append((ids, n, Node.of(x, r["order"], r["nodes"])))
         (ia, na, ta), (ib, nb, tb) = sides[0], sides[-1]
         same = len(sides) == 1
         shift = 0 if same else len(ia)
