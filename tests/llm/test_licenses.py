@@ -22,6 +22,13 @@ TEXTS = [
 ]
 
 
+def by_sql(docs):
+    documents = docs.select("doc_id", "text").toArrow()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    return con.sql(oracle())
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     data = [(i, t, 3, "x") for i, t in enumerate(TEXTS)] + [(None, "MIT license", None, None)]
@@ -29,13 +36,10 @@ def rows(spark):
 
 
 def test_equals_sql(rows):
-    documents = rows.select("doc_id", "text").toArrow()  # noqa: F841
-    con = duckdb.connect()
-    con.register("documents", documents)
-    want = sorted(con.sql(oracle()).fetchall(), key=str)
+    want = sorted(by_sql(rows).fetchall(), key=str)
     got = scan_licenses(rows)
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
-    assert got.columns == [c[0] for c in con.sql(oracle()).description]
+    assert got.columns == [c[0] for c in by_sql(rows).description]
     assert not any(k in got._jdf.queryExecution().toString() for k in ("Python", "Arrow", "Pandas"))
 
 
@@ -57,11 +61,11 @@ def test_files_of_several_notices(spark):
     texts = ["\n".join(notices[label] for label in g) for g in groups]
     # a notice at the end of a long text that holds a dozen rarer template words before it
     texts.append("obtaining charge redistribution modification conditions provided permitted forms attribution creative unencumbered mozilla domain released " + "of the and to " * 500 + notices["lgpl"])
-    # key phrase without any of the anchors
     texts.append("a Creative Commons Attribution 4.0 notice")
     groups += [("lgpl",), ("cc-by",)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert sorted((tuple(r) for r in got.values()), key=str) == sorted(by_sql(docs).fetchall(), key=str)
     for i, g in enumerate(groups):
         assert set(g) <= set(got[i].labels.split(",")), (g, got[i].labels)
         assert 0 < got[i].score <= 1

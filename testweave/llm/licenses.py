@@ -42,8 +42,8 @@ AGREE = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEMPLATE_WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
-#: Words that open the first look-up: most notices hold one of those that few texts have by chance; key phrases open the second.
-_ANCHORS = ("license", "licensed", "licence", "cc", "gnu", "redistribution", "permission", "unencumbered", "mozilla", "apache", "mit")
+#: A file is looked up if the first key phrase of any template stands in it: without its key phrases no notice counts.
+_OPENING = tuple(sorted({keys[0] for _, _, keys in TEMPLATES}))
 
 
 def normal(text: Column) -> Column:
@@ -100,11 +100,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(has, _spaces(F.regexp_extract(n, "(?s)^(.*?)" + base, 1))).alias("first_word"),
         F.when(has, _spaces(F.regexp_extract(n, "(?s)^(.*)" + base, 1))).alias("last_word"),
         F.when(has, base_labels).otherwise(F.array().cast("array<string>")).alias("base"),
-        n.rlike(_whole(_ANCHORS)).alias("open"),
+        n.rlike(_whole(_OPENING)).alias("open"),
     )
     # a file's words by place, and its rarest template words
     words = F.split("norm", " ")
-    rows = rows.withColumn("rare", F.when(F.col("open"), F.slice(F.filter(by_rank, lambda w: F.array_contains(words, w)), 1, LOOKUPS)))
+    rows = rows.withColumn("rare", F.when(F.col("open"), F.slice(F.array_intersect(by_rank, words), 1, LOOKUPS)))  # in the order of the ranks
     hits = lambda among: F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains(among, h["w"]))
     rows = rows.withColumn("hits", F.when(F.col("open"), hits(F.col("rare"))))
 
@@ -124,8 +124,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         keyed = n.rlike(_whole([keys[0]]))
         for k in keys[1:]:
             keyed = keyed & n.rlike(_whole([k]))
-        rows = rows.withColumn(f"keyed_{label}", keyed)
-        rows = rows.withColumn(f"agreed_{label}", F.when(F.col("open") & F.col(f"keyed_{label}"), agreeing("hits", notice)).otherwise(0))
+        rows = rows.withColumn(f"keyed_{label}", F.when(F.col("open"), keyed).otherwise(False))
+        rows = rows.withColumn(f"agreed_{label}", F.when(F.col(f"keyed_{label}"), agreeing("hits", notice)).otherwise(0))
     # templates whose key phrases stand there without agreement: all template words of the file, however many
     unsettled = {label: F.col(f"keyed_{label}") & (F.col(f"agreed_{label}") < AGREE) for label, _, _ in TEMPLATES}
     rows = rows.withColumn("every", F.when(reduce(Column.__or__, unsettled.values()), hits(by_rank)))
@@ -160,13 +160,17 @@ keys(label, phrase) AS (VALUES {keys}),
 bases(phrase, label) AS (VALUES {bases}),
 hits AS (SELECT r, w, pos FROM words SEMI JOIN vocabulary USING (w)),
 frequency AS (SELECT v.w, count(DISTINCT r) AS n FROM vocabulary v LEFT JOIN hits USING (w) GROUP BY v.w),
-open AS (SELECT r FROM norms WHERE regexp_matches(norm, '{whole(_ANCHORS)}')),
+open AS (SELECT r FROM norms WHERE regexp_matches(norm, '{whole(_OPENING)}')),
 rare AS (SELECT r, w FROM (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY n, w) AS k FROM (SELECT DISTINCT r, w FROM hits SEMI JOIN open USING (r)) JOIN frequency USING (w)) WHERE k <= {LOOKUPS}),
 runs AS (SELECT r, label, max(n) AS best FROM (SELECT r, label, pos - place AS shift, count(*) AS n FROM hits JOIN rare USING (r, w) JOIN postings USING (w) GROUP BY ALL) GROUP BY ALL),
 looked AS (SELECT r, label, count(*) AS n FROM rare JOIN postings USING (w) GROUP BY ALL),
 needed AS (SELECT label, count(*) AS n FROM keys GROUP BY label),
 keyed AS (SELECT r, label FROM (SELECT r, label, count(*) AS n FROM norms, keys WHERE contains(' ' || norm || ' ', ' ' || phrase || ' ') GROUP BY r, label) SEMI JOIN needed USING (label, n)),
-verified AS (SELECT r, label, best / looked.n AS share FROM runs JOIN looked USING (r, label) SEMI JOIN keyed USING (r, label) WHERE best >= {AGREE}),
+settled AS (SELECT r, label, best / looked.n AS share FROM runs JOIN looked USING (r, label) SEMI JOIN keyed USING (r, label) WHERE best >= {AGREE}),
+unsettled AS (SELECT r, label FROM keyed ANTI JOIN settled USING (r, label)),
+again AS (SELECT r, label, max(n) AS best FROM (SELECT r, label, pos - place AS shift, count(*) AS n FROM hits JOIN postings USING (w) SEMI JOIN unsettled USING (r, label) GROUP BY ALL) GROUP BY ALL),
+known AS (SELECT r, label, count(*) AS n FROM (SELECT DISTINCT r, w FROM hits) JOIN postings USING (w) SEMI JOIN unsettled USING (r, label) GROUP BY ALL),
+verified AS (SELECT r, label, share FROM settled UNION ALL SELECT r, label, best / n FROM again JOIN known USING (r, label) WHERE best >= {AGREE}),
 runs_of AS (SELECT r, pos, w || ' ' || lead(w) OVER p AS two, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS three FROM words SEMI JOIN (SELECT r FROM norms, bases WHERE contains(' ' || norm || ' ', ' ' || phrase || ' ')) USING (r) WINDOW p AS (PARTITION BY r ORDER BY pos)),
 places AS (SELECT r, label, pos FROM (SELECT r, pos, unnest([two, three]) AS phrase FROM runs_of) JOIN bases USING (phrase)),
 base AS (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
