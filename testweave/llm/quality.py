@@ -4,8 +4,8 @@ A text is a bag of passages of ``PASSAGE`` bytes. Each passage is encoded by fre
 and of pairs of character classes, through one hidden layer; gated attention (a tanh branch times a sigmoid branch)
 weighs the passages; the weighted mean is scored. Only documents have labels, the weights are learnt from them.
 
-Training uses a bounded sample (``SAMPLE`` labelled rows, the first by hash of their id) whose passages the driver fits
-by Adam with a fixed seed; the result is a few thousand numbers. Scoring handles each row whole and alone, no shuffle.
+Training uses a bounded sample (``SAMPLE`` labelled rows, the first by hash of their id, as far as they have ``PASSAGES``
+passages in all) whose passages the driver fits by Adam with a fixed seed; the result is a few thousand numbers. Scoring handles each row whole and alone, no shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ HASHED, CLASSES = 192, 9
 WIDTH = HASHED + CLASSES * CLASSES + 1
 HIDDEN, GATE = 24, 12
 SAMPLE = 4000
+PASSAGES = 60_000
 THRESHOLD = 0.7
 
 
@@ -122,18 +123,20 @@ def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 20, ba
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, rest: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(y, text, held by id order) of at most ``rows`` labelled documents whose crc32(id) mod ``fold`` is not ``rest``.
+    """(id, text, y) of at most ``rows`` labelled documents whose crc32(id) mod ``fold`` is not ``rest``, one row an id.
 
     The ids are the first by hash, so the sample is the same for every layout of the tables; as at most ``rows`` ids are
-    broadcast, no text is shuffled to find them.
+    broadcast, no other text is shuffled to find them. Of rows that repeat an id the text of smallest hash counts.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     y = y.where(F.crc32(F.col("id").cast("string").cast("binary")) % fold != rest).groupBy("id").agg(F.max("y").alias("y"))
     chosen = y.orderBy(F.xxhash64("id"), "id").limit(rows)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("id", "text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 4, rest: int = 2, rows: int = SAMPLE) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 4, rest: int = 2, rows: int = SAMPLE, passages: int = PASSAGES) -> dict:
     """The classifier's parameters."""
 
     def encoded(batches):
@@ -142,8 +145,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int =
             cut = np.concatenate([[0], np.cumsum(counts)])
             yield pa.RecordBatch.from_arrays([b["id"], b["y"], pa.array([x[cut[i] : cut[i + 1]].astype(np.float16).tobytes() for i in range(len(counts))], pa.binary())], names=["id", "y", "x"])
 
-    sample = labelled_sample(docs, labels, label, fold, rest, rows).mapInArrow(encoded, "id long, y int, x binary")
-    got = sorted(((r.id, bytes(r.x), r.y) for r in sample.collect()))[: 2 * rows]  # repeated ids bring their rows along
+    sample = labelled_sample(docs, labels, label, fold, rest, rows)
+    sizes = sample.select("id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).cast("long").alias("n"))
+    kept = sizes.orderBy(F.xxhash64("id"), "id").collect()  # at most ``rows`` pairs of numbers
+    total = np.cumsum([r.n for r in kept]) if kept else np.zeros(0)
+    ids = [r.id for r, t in zip(kept, total) if t <= passages]
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    got = sorted((r.id, bytes(r.x), r.y) for r in sample.join(F.broadcast(chosen), "id").mapInArrow(encoded, "id long, y int, x binary").collect())
     xs = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for _, x, _ in got]
     counts = np.array([len(x) for x in xs], int)
     x = np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float16)
@@ -168,7 +176,10 @@ def score_quality(docs: DataFrame, params: dict, fold: int = 4, rest: int = 2, i
 
 
 def keep_quality(docs: DataFrame, params: dict, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, whose score reaches the threshold."""
+    """The rows of ``docs``, all their columns, whose score reaches the threshold.
+
+    A null text is scored as an empty one; repeated rows stay or go alike; an empty table gives an empty one.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -33,6 +33,9 @@ SAMPLE = 12_000
 PRIOR_WORD, PRIOR_STEM = 4.0, 8.0
 DRIFT, CAP = 0.7, 6.0
 SIGNIFICANT = 0.05
+#: Bins of the distribution of token scores.
+BINS = 4097
+WIDTH = 2 * CAP / (BINS - 1)
 REMEMBER = 300_000
 
 
@@ -116,14 +119,16 @@ class Toxicity:
         return self.read(text)[1]
 
 
-def solve_lambda(s: np.ndarray) -> float:
-    """The positive root of E exp(lambda s) = 1, for scores of negative mean that are positive at times."""
+def solve_lambda(s: np.ndarray, n: np.ndarray | None = None) -> float:
+    """The positive root of E exp(lambda s) = 1, for scores s (n times each) of negative mean that are positive at times."""
+    n = np.ones(len(s)) if n is None else n
     if not len(s) or s.max() <= 0:
         return 1.0
-    if s.mean() >= 0:
-        s = s - s.mean() - 0.1
+    mean = np.average(s, weights=n)
+    if mean >= 0:
+        s = s - mean - 0.1
     lo, hi = 1e-6, 1.0
-    f = lambda x: float(np.mean(np.exp(np.minimum(x * s, 300)))) - 1
+    f = lambda x: float(np.average(np.exp(np.minimum(x * s, 300)), weights=n)) - 1
     while f(hi) < 0 and hi < 64:
         hi *= 2
     for _ in range(60):
@@ -172,21 +177,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5,
     model = Toxicity((1.0, 1.0, np.zeros(4)), seen[:BUCKETS], toxic[:BUCKETS], stems, rate)
 
     def measure(batches):
+        counts = np.zeros(BINS, np.int64)
         for b in slices(batches):
-            texts = [t or "" for t in b["text"].to_pylist()]
-            found = []
-            for t in texts:
-                s = model.scores(t)
-                found.append((len(s), max((f[2] for f in segments(s)), default=0.0), s[:: max(1, len(s) // 64)].astype(np.float32).tobytes()))
-            yield pa.RecordBatch.from_arrays([b["id"], b["y"], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.binary())], names=["id", "y", "n", "best", "s"])
+            for t in b["text"].to_pylist():
+                counts += np.bincount(((model.scores(t) + CAP + DRIFT) / WIDTH + 0.5).astype(int), minlength=BINS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bin", "n"])
+
+    def bests(batches):
+        for b in slices(batches):
+            found = [(len(s), max((f[2] for f in segments(s)), default=0.0)) for t in b["text"].to_pylist() for s in (model.scores(t),)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], names=["n", "best"])
 
     held = sample.where(~counting)
-    got = held.mapInArrow(measure, "id long, y int, n long, best double, s binary").where("y = 0 and n > 0").toArrow()
-    if got.num_rows:
-        pool = np.concatenate([np.frombuffer(s, np.float32) for s in got["s"].to_pylist()]).astype(float)
-        model.lam = solve_lambda(pool)
-        # K by moments: the mean of lambda S - ln n is ln K plus Euler's constant; the median is robust to wrong labels
-        model.k = float(np.exp(np.median(model.lam * got["best"].to_numpy() - np.log(got["n"].to_numpy())) + np.log(np.log(2))))
+    clean = held.where("y = 0")
+    spread = clean.mapInArrow(measure, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # every token of the clean texts, by score
+    if spread.num_rows:
+        model.lam = solve_lambda(spread["bin"].to_numpy() * WIDTH - CAP - DRIFT, spread["n"].to_numpy().astype(float))
+        # K by the median of lambda S - ln n, which is robust to wrong labels: it is ln K less ln ln 2
+        middle = clean.mapInArrow(bests, "n long, best double").where("n > 0").agg(F.median(F.lit(model.lam) * F.col("best") - F.log("n")).alias("m")).first()["m"]
+        model.k = float(np.exp(middle) * np.log(2)) if middle is not None else 1.0
 
     def features(batches):
         for b in slices(batches):
