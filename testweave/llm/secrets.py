@@ -5,7 +5,8 @@ Besides the three base kinds, every long token of letters and digits that stands
 Its novelty is its marginal cost: the bytes by which
 zstandard's output grows when the token is put back between its neighbours, with a dictionary of identifiers as history.
 Ordinary words and identifiers cost little since the dictionary or the context has them; random material costs nearly
-its entropy and is reported as kind ``novel``.
+its entropy and is reported as kind ``novel``. The base spans stay whatever their cost, but are measured alike: each span
+comes with its rate, so that a placeholder (``password=changeme-changeme``) can be told from a key.
 
 Each row is scanned whole and alone: no shuffle.
 """
@@ -111,14 +112,15 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, rates string"
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, rates for each row.
 
-    A null text counts as empty and has no spans. Repeated rows give equal values; a null id stays null; other columns
-    are ignored; an empty table gives an empty result.
+    ``rates`` are the spans' marginal compressed bytes for each of their own, in the spans' order. A null text counts as
+    empty and has no spans. Repeated rows give equal values; a null id stays null; other columns are ignored; an empty
+    table gives an empty result.
     """
 
     def run(batches):
@@ -127,9 +129,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = []
             for t in b["text"].to_pylist():
                 base, spans = scan(t or "", novelty)
-                rows.append((*(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            a, c, h, d, s = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x, pa.int64()) for x in (a, c, h)), pa.array(d, pa.string()), pa.array(s, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                rates = ",".join(f"{novelty.rate(t, s, e):.2f}" for s, _, e in spans)
+                rows.append((*(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), rates))
+            a, c, h, d, s, r = zip(*rows) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x, pa.int64()) for x in (a, c, h)), *(pa.array(x, pa.string()) for x in (d, s, r))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "rates"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
