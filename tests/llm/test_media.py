@@ -1,10 +1,12 @@
 import hashlib
+import math
+import statistics
 import zlib
 
 import numpy as np
 import pytest
 
-from testweave.llm.media import _chunk, SIGNATURE, cosine_hash, filtered, media_columns, media_digests, pad, read_png, unfilter, write_png
+from testweave.llm.media import _chunk, SIGNATURE, chosen, cosine_hash, filtered, media_columns, media_digests, pad, read_png, unfilter, write_png
 
 TEXTS = [None, "", "a", "x" * 63, "x" * 64, "é" * 40, "long text " * 30_000, "a"]
 
@@ -23,6 +25,35 @@ def test_mixed_filters():
     assert (unfilter(lines) == rows).all()
 
 
+def test_filters_are_chosen_by_line():
+    rng = np.random.default_rng(4)
+    noise = rng.integers(0, 256, (6, 64), dtype=np.uint8)
+    ramp = (np.arange(64, dtype=np.uint8)[None, :] + 100) * np.ones((6, 1), np.uint8)
+    rows = np.concatenate([np.zeros((2, 64), np.uint8), ramp, noise, noise[-1:], noise[-1:] + 1, ramp, np.frombuffer(("some words of text " * 40).encode()[:640], np.uint8).reshape(-1, 64)])
+    lines = chosen(rows)
+    assert set(lines[:, 0]) == {0, 1, 2} and (unfilter(lines) == rows).all()
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        rows, kinds = rng.integers(0, 256, (n, 64), dtype=np.uint8), rng.integers(0, 5, n)
+        assert (unfilter(np.array([filtered(rows, k)[i] for i, k in enumerate(kinds)])) == rows).all()
+
+
+def plain_hash(rows):
+    """The cosine hash from its definition, sample by sample."""
+    h, w = len(rows), len(rows[0])
+    cut = lambda n, i: range(i * n // 32, max(i * n // 32 + 1, (i + 1) * n // 32))
+    small = [[sum(float(rows[y][x]) for y in cut(h, i) for x in cut(w, j)) / (len(cut(h, i)) * len(cut(w, j))) for j in range(32)] for i in range(32)]
+    low = [round(sum(small[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = statistics.median(low[1:])
+    return int("".join("0" if k == 0 else str(int(c > middle)) for k, c in enumerate(low)), 2).to_bytes(8, "big")
+
+
+@pytest.mark.parametrize("lines", [1, 7, 32, 45, 64, 200])
+def test_hash_equals_its_definition(lines):
+    rows = np.random.default_rng(lines).integers(0, 256, (lines, 64), dtype=np.uint8)
+    assert cosine_hash(rows) == plain_hash(rows.tolist())
+
+
 def test_damage_is_found():
     png = write_png(pad(b"some text"))
     for i in range(0, len(png), 3):
