@@ -3,10 +3,11 @@
 A piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n`` (the matrix products and the attention of a sequence whose
 documents don't see each other). Whole sequences are cut off long documents first; what remains of each document is
 packed in windows: the window's tokens fix how many sequences it needs, documents are taken from the costliest down,
-and each goes to the sequence of lowest cost that has room for all of it, or, where none of the cheapest few has, is
-cut at the room of the cheapest one. Only a window's last sequence can be padded; one of a power of two isn't.
+and each goes to the sequence of lowest cost among all that have room for the whole of it. Only where no sequence has, it
+is cut at the largest room, and what is left takes its turn by its own length. Only a window's last sequence can be
+padded; one of a power of two isn't.
 
-Windows lie within a task's rows, so there is no shuffle, memory is bounded by ``WINDOW`` documents, and a lost task is
+Windows lie within a task's rows, so there is no shuffle, memory is bounded by ``WINDOW`` tokens, and a lost task is
 packed again alike (input order of a file split is fixed; ties go by id). Sequence ids are the partition's number and
 a counter, so they don't collide.
 """
@@ -28,17 +29,15 @@ from .common import slices
 
 CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Documents packed together.
-WINDOW = 20_000
-#: Sequences tried for a whole fit before a document is cut.
-TRIES = 12
+#: Tokens of the documents packed together: some two thousand sequences.
+WINDOW = 1 << 22
 END = 1
 #: White space to Python that is none to the tokenizers' ``\s``: texts that hold one are encoded whole.
 ODD = "\x1c\x1d\x1e\x1f"
 #: Marks that end words; no vocabulary rule joins them to letters.
 MARKS = ".,;:!?"
 #: Words in each of the two generations that a worker remembers: bounds memory, never changes results.
-REMEMBER = 800_000
+REMEMBER = 250_000
 
 
 def cost(n: int) -> float:
@@ -156,37 +155,50 @@ def loaded(path: str) -> WordEncoder:
 
 
 def assign(lengths: list[int], ids: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Pieces (document, start within it, length, sequence, offset) of documents of at most ``capacity`` tokens, and the number of sequences."""
+    """Pieces (document, start within it, length, sequence, offset) of documents of at most ``capacity`` tokens, and the number of sequences.
+
+    Lengths only fall, so a sequence that once has room for the current one stays open for all later ones until it is used:
+    open sequences lie in a heap by cost, the others wait by their room.
+    """
     total = sum(lengths)
     count = -(-total // capacity)
-    room, order = [capacity] * count, sorted(range(len(lengths)), key=lambda i: (-lengths[i], ids[i], i))
-    if count:
-        room[-1] = total - capacity * (count - 1)
+    if not count:
+        return [], 0
+    room = [capacity] * count
+    room[-1] = total - capacity * (count - 1)
     size = list(room)
-    heap = [(0.0, s) for s in range(count)]
+    spent = [0.0] * count
+    queue = [(-lengths[i], ids[i], i, 0) for i in range(len(lengths)) if lengths[i]]
+    heapq.heapify(queue)
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for s in range(count):
+        waiting[room[s]].append(s)
+    open_: list[tuple[float, int]] = []
+    least = capacity + 1  # sequences of this much room and more are open
     out = []
-    for d in order:
-        start, left = 0, lengths[d]
-        while left:
-            aside, found = [], None
-            while heap and len(aside) < TRIES:
-                c, s = heapq.heappop(heap)
-                if room[s] >= left:
-                    found = (c, s)
-                    break
-                aside.append((c, s))
-            if found is None:
-                found = aside.pop(0)
-            for x in aside:
-                heapq.heappush(heap, x)
-            c, s = found
-            n = min(left, room[s])
-            out.append((d, start, n, s, size[s] - room[s]))
-            room[s] -= n
-            start += n
-            left -= n
-            if room[s]:
-                heapq.heappush(heap, (c + cost(n), s))
+    while queue:
+        left, key, d, start = heapq.heappop(queue)
+        left = -left
+        while least > left:
+            least -= 1
+            for s in waiting[least]:
+                heapq.heappush(open_, (spent[s], s))
+            waiting[least] = []
+        if open_:
+            _, s = heapq.heappop(open_)
+            n = left
+        else:
+            n = next(r for r in range(left - 1, 0, -1) if waiting[r])
+            s = min(waiting[n], key=lambda s: (spent[s], s))
+            waiting[n].remove(s)
+            heapq.heappush(queue, (n - left, key, d, start + n))
+        out.append((d, start, n, s, size[s] - room[s]))
+        room[s] -= n
+        spent[s] += cost(n)
+        if room[s] >= least:
+            heapq.heappush(open_, (spent[s], s))
+        elif room[s]:
+            waiting[room[s]].append(s)
     return out, count
 
 
@@ -204,7 +216,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     def run(batches):
         encoder = loaded(path)
         base = TaskContext.get().partitionId() << 33
-        used = 0
+        used = waiting = 0
         wait: list[tuple] = []  # (doc_id, start of the rest, ids of the rest, tokens of the document)
 
         def rows(pieces):
@@ -217,7 +229,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         def packed():
-            nonlocal used
+            nonlocal used, waiting
             out, count = assign([len(w[2]) // 4 for w in wait], [w[0] if w[0] is not None else -1 for w in wait], capacity)
             made = []
             for d, start, n, s, offset in out:
@@ -225,6 +237,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
                 part = ids[4 * start : 4 * (start + n)]
                 made.append((doc, before + start, n, zlib.crc32(part), total, base + used + s, offset, part))
             used += count
+            waiting = 0
             wait.clear()
             return rows(made)
 
@@ -241,9 +254,10 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
                     used += 1
                 if whole < total:
                     wait.append((doc, whole, ids[4 * whole :], total))
+                    waiting += total - whole
             if full:
                 yield rows(full)
-            if len(wait) >= WINDOW:
+            if waiting >= WINDOW:
                 yield packed()
         if wait:
             yield packed()
