@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from testweave.llm import jaccard
@@ -59,12 +60,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("page", [64, 4])
-def test_equals_brute_force(spark, monkeypatch, page):
-    monkeypatch.setattr(jaccard, "PAGE", page)
+@pytest.mark.parametrize("page, most", [(64, 1 << 21), (2, 0)])
+def test_equals_brute_force(spark, page, most):
     rows = [(i * 7 % 1009 + 1, t) for i, t in enumerate(corpus())] + [(None, corpus()[20]), (None, "nothing like it at all here"), (1, corpus()[0]), (8, corpus()[30])]
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, set string, n int").repartition(3)
-    got = sorted((tuple(r) for r in jaccard.near_documents(docs).collect()), key=str)
+    got = sorted((tuple(r) for r in jaccard.near_documents(docs, page=page, most=most).collect()), key=str)
     assert got == brute(rows)
     if page == 64:
         kept = jaccard.drop_near_documents(docs)
@@ -76,3 +76,15 @@ def test_equals_brute_force(spark, monkeypatch, page):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_documents(empty).count() == 0 and jaccard.drop_near_documents(empty).count() == 0
+
+
+def test_bounds_never_fall_below_the_overlap():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    for n, m, both in ((40, 30, 25), (700, 900, 500), (5, 2000, 3), (64, 64, 64)):
+        a, b = pool[:n], pool[n - both : n - both + m]
+        x, y = (jaccard.counts_of(jaccard.point_of(s)) for s in (a, b))
+        for groups in (16, min(x.shape[1], y.shape[1])):
+            assert jaccard.overlaps(jaccard.folded(x, groups), jaccard.folded(y, groups))[0] >= both
+    crowded = np.full((1, 64), jaccard.FULL, np.uint8)
+    assert jaccard.overlaps(crowded, crowded)[0] > 10**6 and jaccard.overlaps(jaccard.folded(crowded, 8), jaccard.folded(crowded, 8))[0] > 10**5
