@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
-from testweave.llm.repeats import LENGTH, remove_repeats, repeat_digests
+import numpy as np
+import pyarrow as pa
+
+from testweave.llm.repeats import LENGTH, PIECE, Q, pieces, remove_repeats, repeat_digests, windows
 
 
 def brute(texts):
@@ -66,3 +69,46 @@ def test_repeated_and_null_ids(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert repeat_digests(empty).count() == 0 and remove_repeats(empty).count() == 0
+
+
+def test_windows_have_the_same_anchors_wherever_they_stand():
+    rng = np.random.default_rng(3)
+    same = rng.integers(0, 2, 1000).astype(np.uint8)  # two letters: many equal q-grams
+    data = np.concatenate([rng.integers(0, 256, 700).astype(np.uint8), same, rng.integers(0, 256, 900).astype(np.uint8), np.zeros(900, np.uint8), same])
+    for chunk in (512, 1 << 10, 1 << 20):
+        _, starts, _, anchor = windows(data, np.array([0, len(data)]), chunk)
+        ahead = anchor - starts
+        assert (ahead >= 0).all() and (ahead <= LENGTH - Q).all() and (np.diff(anchor) >= 0).all()
+        assert (ahead[700 : 700 + 601] == ahead[3500 : 3500 + 601]).all()
+
+
+def test_pieces_cover_each_window_once():
+    texts = pa.array(["a" * 5000, None, "", "bc" * 300, "d" * 399, "ef" * 4000])
+    seen = Counter()
+    for data, off, rows, base in pieces(texts, 1000):
+        assert len(data) == off[-1] <= 1000 + LENGTH - 1
+        for k, r in enumerate(rows):
+            part = data[off[k] : off[k + 1]].tobytes().decode()
+            assert (texts[int(r)].as_py() or "")[base[k] : base[k] + len(part)] == part
+            seen.update((int(r), int(base[k]) + i) for i in range(len(part) - LENGTH + 1))
+    assert seen == Counter((r, i) for r, t in enumerate(texts.to_pylist()) for i in range(len(t or "") - LENGTH + 1))
+
+
+def test_passages_at_the_borders_of_pieces_of_a_long_text(spark):
+    rng = random.Random(1)
+    letters = "".join(rng.choice("abcdefghij") for _ in range(PIECE + 60_000))
+    marks = [PIECE - 200, PIECE - 1, PIECE - 399, PIECE + 1000, (1 << 20) - 200, 2 * (1 << 20) + 5]
+    rows = [(0, letters)] + [(i + 1, f"<{i}>" + letters[a : a + 400] + f"<{i}>") for i, a in enumerate(marks)]
+    got = {r.doc_id: r for r in repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert [got[i + 1].n_removed for i in range(len(marks))] == [400] * len(marks)
+    hit = set()
+    for a in marks:
+        hit.update(range(a, a + 400))
+    assert got[0].n_removed == len(hit)
+
+
+def test_columns_of_any_name(spark):
+    long = " ".join(str(i) for i in range(300))
+    docs = spark.createDataFrame([(1, long, "a", 1.0, "u"), (2, long, "b", 2.0, "v")], "doc_id long, text string, _row string, _runs double, `_HASH` string")
+    got = sorted(map(tuple, remove_repeats(docs).collect()))
+    assert got == [(1, "", "a", 1.0, "u"), (2, "", "b", 2.0, "v")]
