@@ -19,6 +19,9 @@ def test_end_to_end(spark, tmp_path, capsys):
     assert cli.main([*store, "explain", "b"]) == 0
     found = json.loads(capsys.readouterr().out)
     assert found["verdict"]["kind"] == "real_regression" and found["flips"]["flips"] == 1 and found["test"]["suite"] == "pkg.B" and len(found["timeline"]) == 2
+    assert cli.main([*store, "explain", "b", "--format", "text"]) == 0
+    text = capsys.readouterr().out
+    assert text.startswith("pkg.B › b\n") and "verdict: real_regression (medium)" in text and "timeline (oldest first):" in text and "at f (src/pay.py:3:1)" in text
     assert cli.main([*store, "explain", "nothing-like-it"]) == 2
     (reports / "junit.xml").unlink()
     assert cli.main([*store, "run", str(reports), "--commit", "c9"]) == 2

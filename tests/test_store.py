@@ -103,3 +103,26 @@ def test_key_functions(spark):
     f = spark.createDataFrame([(" ./a//b\\c ", "1,234.5", "git@h:o/n.git", "a\n\n b "), ("x", "abc", "https://h/o/n", None), ("", "", "nothing", ""), ("", "-0.0025", None, "q")], "suite string, t string, url string, files string")
     got = f.select(K.stable_suite(F.col("suite")), K.time_to_ms(F.col("t")), K.repo_slug(F.col("url")), K.split_files(F.col("files"))).collect()
     assert [tuple(r) for r in got] == [("a/b/c", 1234500, "o/n", ["a", "b"]), ("x", None, "o/n", []), ("", 0, None, []), ("", -2, None, ["q"])]
+
+
+def test_explain_counts_a_fingerprint_over_other_tests(spark):
+    from testweave.operators.explain import explain
+
+    runs = spark.createDataFrame([(i, "r", f"c{i}", f"p{i}", f"b{i}", str(i), 1, 1000 * i, []) for i in range(1, 6)], "id long, repo string, commit_sha string, parent_sha string, branch string, ci_run_id string, attempt int, started_at long, changed_files array<string>")
+    rows = [(i, i, "s", f"t{i}", f"key{i}", "failed", 5, "odd", "", "same") for i in range(1, 5)] + [(10, 5, "s", "t4", "key4", "passed", 5, None, None, None)]
+    rows += [(20, 3, "s", "t4", "key4", "passed", 5, None, None, None)]
+    results = spark.createDataFrame(rows, "id long, run_id long, suite string, test_name string, test_key string, status string, duration_ms long, message string, stack string, fingerprint string")
+    found = explain(runs, results, "t4")
+    assert found["verdict"]["kind"] == "flake_likely" and found["spread"]["branches"] == 4
+
+
+def test_places_within_buckets(spark):
+    kinds = ["real_regression", "always_failing", "ambiguous", "infra_failure", "flake_confirmed", "flake_likely"]
+    sure = ["high", "medium", "low"]
+    rows = [(i * 37 % 1009, kinds[i % 6 if i % 5 else 5], sure[i % 3]) for i in range(700)]
+    v = spark.createDataFrame(rows, "id long, kind string, confidence string")
+    got = {r.id: (r.bucket, r.place) for r in C.group_by_action(v, slots=8).collect()}
+    for b in C.BUCKETS:
+        mine = sorted((r for r in rows if C.BUCKET[r[1]] == b), key=lambda r: (C.KINDS.index(r[1]), sure.index(r[2]), r[0]))
+        assert [got[r[0]] for r in mine] == [(b, k + 1) for k in range(len(mine))]
+    assert C.group_by_action(v.limit(0)).count() == 0 and C.group_by_action(v, most=3).count() == 9

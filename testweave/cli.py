@@ -13,7 +13,7 @@ from .errors import HistoryError, NoReportsError
 from .operators import classify as C
 from .operators import history as H
 from .operators import report as P
-from .operators.explain import explain, verdicts
+from .operators.explain import explain, explain_text, verdicts
 from .schema import RUNS
 from .sources.reports import PATTERNS, analyzed, read_reports
 from .sources.store import HistoryStore
@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None) -> int:
         e = sub.add_parser(name)
         e.add_argument("query")
         e.add_argument("--limit", type=int, default=20)
+        e.add_argument("--format", choices=("text", "json"), default="json")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("testweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = HistoryStore(spark, a.store)
@@ -67,6 +68,9 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps([t.asDict() for t in top], indent=1))
         else:
             found = explain(store.runs(), store.results(), a.query, a.limit)
+            if a.command == "explain" and a.format == "text":
+                print(explain_text(found))
+                return 0
             print(json.dumps(found if a.command == "explain" else {k: found[k] for k in ("test", "timeline", "flips")}, indent=1, default=str))
         return 0
     except HistoryError as e:

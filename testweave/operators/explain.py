@@ -37,5 +37,29 @@ def explain(runs: DataFrame, results: DataFrame, query: str, last: int = 20) ->
     rows = H.timeline(runs, mine).orderBy(F.desc("started_at"), F.desc("run_id")).limit(last).collect()
     spread = H.fingerprint_spread(runs, results.where(F.col("fingerprint") == failure["fingerprint"])).first() if failure and failure["fingerprint"] else None
     flips = H.history_flips(H.timeline(runs, mine), last).first()
-    verdict = verdicts(runs, mine).where(F.col("id") == failure["id"]).select("kind", "confidence", "evidence").first() if failure else None
+    # over the whole history: other tests' rows count in how far the fingerprint has spread
+    run = results.sparkSession.createDataFrame([(failure["run_id"],)], "run_id long") if failure else None
+    verdict = verdicts(runs, results, run_ids=run).where(F.col("id") == failure["id"]).select("kind", "confidence", "evidence").first() if failure else None
     return {"test": found[0].asDict(), "others": [f.asDict() for f in found[1:]], "latest_failure": failure and failure.asDict(), "timeline": [r.asDict() for r in reversed(rows)], "spread": spread and spread.asDict(), "flips": flips and flips.asDict(), "verdict": verdict and verdict.asDict(recursive=True)}
+
+
+def explain_text(found: dict, stack_lines: int = 20) -> str:
+    """The answer of :func:`explain` laid out as text: identity, verdict, last failure, timeline, spread, other matches."""
+    test, failure, verdict = found["test"], found["latest_failure"], found["verdict"]
+    out = [f"{test['suite']} › {test['test_name']}", f"key {test['test_key']}, {test['n_runs']} run(s)", ""]
+    if verdict:
+        out += [f"verdict: {verdict['kind']} ({verdict['confidence']})", *(f"  - {e}" for e in verdict["evidence"]), ""]
+    if failure:
+        lines = (failure["stack"] or "").splitlines()
+        out += [f"last failure: run {failure['run_id']}, {failure['status']}", f"  {failure['message'] or '(no message)'}", *(f"    {x}" for x in lines[:stack_lines])]
+        out += [f"    … {len(lines) - stack_lines} more lines"] * (len(lines) > stack_lines) + [""]
+    out.append("timeline (oldest first):")
+    out += [f"  run {r['run_id']}: {r['status']}" + (f", {r['duration_ms']} ms" if r["duration_ms"] is not None else "") for r in found["timeline"]]
+    if found["flips"]:
+        out.append(f"flips: {found['flips']['flips']}")
+    if found["spread"]:
+        s = found["spread"]
+        out.append(f"fingerprint {s['fingerprint']}: {s['n']} time(s) on {s['branches']} branch(es), {s['commits']} commit(s), {s['tests']} test(s)")
+    if found["others"]:
+        out += ["", "also found:", *(f"  {o['suite']} › {o['test_name']}" for o in found["others"])]
+    return "\n".join(out)
