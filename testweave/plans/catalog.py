@@ -86,8 +86,19 @@ on_history("latest_failure", "SELECT test_key, run_id, id, status, message, fing
 on_history("recent_runs", "SELECT id, repo, commit_sha, branch, attempt, started_at FROM runs ORDER BY id DESC LIMIT 20", lambda u, r: H.recent_runs(u).select("id", "repo", "commit_sha", "branch", "attempt", "started_at"))
 on_history("flaky_passes", f"SELECT run_id, test_key, array_to_string(attempts, ',') AS attempts FROM (SELECT DISTINCT run_id, test_key, list_filter(f.attempts, lambda a: a <> j.attempt) AS attempts FROM joined j JOIN ({_ATTEMPTS}) f USING (commit_sha, test_key) WHERE status = 'passed') WHERE len(attempts) > 0", lambda u, r: H.flaky_passes(u, r).withColumn("attempts", F.array_join(F.col("attempts").cast("array<string>"), ",")))
 on_history("find_tests", "SELECT test_key, max(suite) AS suite, max(test_name) AS test_name, count(DISTINCT run_id) AS n_runs FROM results WHERE test_name = 'PART1_' OR suite || '::' || test_name ILIKE '%PART1_%' OR test_key ILIKE 'PART1_%' GROUP BY ALL", lambda u, r: H.find_tests(r, "PART1_"))
-on_history("run_exists", "SELECT c.id FROM (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN id + 1 ELSE id END AS id) FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 99 ELSE attempt END AS tried FROM runs)) c WHERE EXISTS (SELECT 1 FROM runs u WHERE u.repo = c.repo AND u.commit_sha = c.commit_sha AND u.ci_run_id IS NOT DISTINCT FROM c.ci_run_id AND u.attempt = c.tried)", lambda u, r: H.run_exists(u.withColumn("attempt", F.when(F.col("id") % 3 == 0, 99).otherwise(F.col("attempt"))).withColumn("id", F.when(F.col("id") % 3 == 0, F.col("id") + 1).otherwise(F.col("id"))), u).select("id"))
-on_history("record_run_dedup", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY repo, commit_sha, ci_run_id, attempt ORDER BY id) AS k FROM runs WHERE id % 2 = 1) c WHERE (ci_run_id IS NULL OR k = 1) AND NOT EXISTS (SELECT 1 FROM runs u WHERE u.id % 2 = 0 AND u.repo = c.repo AND u.commit_sha = c.commit_sha AND u.ci_run_id = c.ci_run_id AND u.attempt = c.attempt)", lambda u, r: H.new_runs(u.where("id % 2 = 1"), u.where("id % 2 = 0")).select("id"))
+
+_TUPLE = "repo, commit_sha, ci_run_id, attempt"
+#: Every run as it is, and once more as the next attempt of the same build.
+_OFFERED = f"SELECT id, {_TUPLE} FROM runs UNION ALL SELECT id + 1000000000, repo, commit_sha, ci_run_id, attempt + 1 FROM runs"
+
+
+def offered(u):
+    own = u.select("id", "repo", "commit_sha", "ci_run_id", "attempt")
+    return own.unionByName(own.withColumns({"id": F.col("id") + 1_000_000_000, "attempt": F.col("attempt") + 1}))
+
+
+on_history("run_exists", f"SELECT c.id FROM ({_OFFERED}) c WHERE EXISTS (SELECT 1 FROM runs u WHERE u.repo = c.repo AND u.commit_sha = c.commit_sha AND u.ci_run_id IS NOT DISTINCT FROM c.ci_run_id AND u.attempt = c.attempt)", lambda u, r: H.run_exists(offered(u), u).select("id"))
+on_history("record_run_dedup", f"SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY {_TUPLE} ORDER BY id) AS k FROM ({_OFFERED})) c WHERE (ci_run_id IS NULL OR k = 1) AND NOT EXISTS (SELECT 1 FROM runs u WHERE u.repo = c.repo AND u.commit_sha = c.commit_sha AND u.ci_run_id = c.ci_run_id AND u.attempt = c.attempt)", lambda u, r: H.new_runs(offered(u), u).select("id"))
 
 # --- verdicts --------------------------------------------------------------------------------------------------------
 
@@ -193,7 +204,8 @@ on_history("extract_frames", f"SELECT id, {_FRAME_TEXT} AS frames FROM results W
 on_history("normalize_frame", r"SELECT id, concat('at check (', regexp_extract(stack, 'src/part[0-9]+\.py'), ')') AS frame FROM results WHERE stack IS NOT NULL", lambda u, r: r.where("stack is not null").select("id", T.normalize_frame(F.get(F.split("stack", "\n"), F.lit(1))).alias("frame")))
 on_history("normalize_failure", f"SELECT id, concat({_NORMAL}, '|', {_FRAME_TEXT}) AS canonical FROM results WHERE message IS NOT NULL", lambda u, r: r.where("message is not null").select("id", T.normalize_failure(F.col("message"), F.col("stack"))["canonical"].alias("canonical")))
 on_history("fingerprint", f"SELECT id, left(sha256(concat({_NORMAL}, '|', {_FRAME_TEXT})), 16) AS fingerprint FROM results WHERE message IS NOT NULL", lambda u, r: r.where("message is not null").select("id", K.fingerprint(T.normalize_failure(F.col("message"), F.col("stack"))["canonical"]).alias("fingerprint")))
-on_history("first_error_line", "SELECT id, 'TypeError: bad' AS line FROM results WHERE stack IS NOT NULL", lambda u, r: r.where("stack is not null").select("id", T.first_error_line(F.concat(F.lit("=====\n> echo\n12 | x\nnothing here\nTypeError: bad\n"), "stack")).alias("line")))
+_STRONG_SQL = r"(?i)\b(?:[a-z]\w*(?:error|exception)|assert|timeout|timed out|not found|failed)\b|\bexpected \w"
+on_history("first_error_line", f"SELECT id, CASE WHEN regexp_matches(message, '{_STRONG_SQL}') THEN message ELSE 'Error: it broke' END AS line FROM results WHERE stack IS NOT NULL", lambda u, r: r.where("stack is not null").select("id", T.first_error_line(F.concat_ws("\n", F.lit("> echo"), "stack", F.lit("12 | x"), "message")).alias("line")))
 query("looks_like_frame", r"SELECT doc_id, count(*) FILTER (WHERE regexp_matches(l, '^\s*at\s+\S')) AS frames FROM (SELECT doc_id, unnest(string_split(concat('at ', text), chr(10))) AS l FROM documents) GROUP BY ALL", False)(lambda s, d: table(s, d, "documents").select("doc_id", F.size(F.filter(F.split(F.concat(F.lit("at "), "text"), "\n"), T.looks_like_frame)).cast("long").alias("frames")))
 on_history("weak_message", "SELECT id, run_id % 2 = 0 AS weak FROM results", lambda u, r: r.select("id", T.is_weak(F.concat(F.when(F.col("run_id") % 2 == 0, "spec/a.ts:29:3 ").otherwise("a.ts: 29 "), F.col("test_name"))).alias("weak")))
 query("dedupe_consecutive", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NULL OR b <> role GROUP BY ALL", False)(lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t")).select("conv_id", F.array_join(T.without_repeats(F.transform("t", lambda x: x["role"])), ",").alias("roles")))
