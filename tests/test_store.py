@@ -126,3 +126,61 @@ def test_places_within_buckets(spark):
         mine = sorted((r for r in rows if C.BUCKET[r[1]] == b), key=lambda r: (C.KINDS.index(r[1]), sure.index(r[2]), r[0]))
         assert [got[r[0]] for r in mine] == [(b, k + 1) for k in range(len(mine))]
     assert C.group_by_action(v.limit(0)).count() == 0 and C.group_by_action(v, most=3).count() == 9
+
+
+def test_backfill_from_archives(spark, tmp_path):
+    import io
+    import zipfile
+
+    from testweave.sources.store import backfill_archives
+
+    def archive(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in members.items():
+                z.writestr(name.replace("_", "."), text)
+        return out.getvalue()
+
+    one = "<testsuite name='s'><testcase name='a' time='1'/><testcase name='b'><failure message='boom'>at x</failure></testcase></testsuite>"
+    runs = spark.createDataFrame([(i, "r", f"c{i}", None, "main", f"ci{i}", 1, 1000 + i, []) for i in range(1, 8)], RUNS)
+    rows = [
+        (2, "junit-1", False, archive(r_xml=one)),
+        (3, "junit-2", None, archive(r_xml=one, bad_xml="<testsuite", notes_txt="x")),
+        (3, "junit-2b", True, archive(r_xml=one)),
+        (4, "junit-3", True, archive(r_xml=one)),
+        (5, "logs", False, archive(r_xml=one)),
+        (6, "junit-4", False, b"no zip"),
+        (7, "junit-5", False, archive(r_xml=one)),
+        (1, "junit-6", False, archive(r_xml=one)),
+    ]
+    artifacts = spark.createDataFrame(rows, "run_id long, name string, expired boolean, content binary")
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    done = backfill_archives(store, runs, artifacts, "JUnit-?", cutoff_ms=1002, since=7)
+    assert done == {"scanned": 6, "matched": 3, "recorded": 2, "already_recorded": 0, "results": 4, "artifacts": 3, "bad_archives": 1, "parse_failures": 1, "oldest": 2, "stopped": "window"}
+    assert sorted((r.ci_run_id, r.n) for r in H.joined(store.runs(), store.results()).groupBy("ci_run_id").agg(F.count("*").alias("n")).collect()) == [("ci2", 2), ("ci3", 2)]
+    again = backfill_archives(store, runs, artifacts, since=7)
+    assert (again["already_recorded"], again["recorded"], again["stopped"]) == (2, 2, "since")
+    assert backfill_archives(store, runs.limit(0), artifacts)["stopped"] == "exhausted"
+
+
+def test_start_hint(spark):
+    link = "array<struct<file:string,line:int>>"
+    rows = [
+        ("real_regression", [("a.py", 3)], "at q (b.ts:9:1)", []),
+        ("real_regression", [("a.py", None)], "at q (src\\b.ts:9:1)\nat r (lib/C.go:4)", ["x/c.go"]),
+        ("real_regression", [], "at q (src\\b.ts:9:1)\nat r (lib/C.go:4)", None),
+        ("real_regression", None, None, ["x/c.go"]),
+        ("ambiguous", [("a.py", 3)], "at q (b.ts:9:1)", []),
+    ]
+    f = spark.createDataFrame(rows, f"kind string, blame {link}, stack string, files array<string>")
+    got = [r[0] for r in f.select(P.start_hint(F.col("kind"), F.col("blame"), F.col("stack"), F.col("files"))).collect()]
+    assert got == ["a.py:3", "lib/C.go:4", "src/b.ts:9", None, None]
+
+
+def test_escalation_plan(spark):
+    v = spark.createDataFrame([(i, f"k{i}", "ambiguous" if i else "flake_likely", ["e"] * (1 + (i == 5))) for i in range(6)], "id long, test_key string, kind string, evidence array<string>")
+    items = spark.createDataFrame([(i, 10 * i) for i in range(6)], "id long, tokens long")
+    state = lambda **k: {r.id: r.state for r in C.escalation_plan(v, items, **k).collect()}
+    assert state(most=3) == {5: "sent", 1: "sent", 2: "sent", 3: "deferred", 4: "deferred"}
+    assert state(most=3, guardrail=79) == {5: "too_large", 1: "too_large", 2: "too_large", 3: "deferred", 4: "deferred"}
+    assert C.escalation_plan(v.where("id = 0"), items).count() == 0

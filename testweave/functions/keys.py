@@ -76,6 +76,11 @@ def split_files(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trimmed), lambda x: x != "")
 
 
+def distinct_files(files: Column) -> Column:
+    """Each file once, where it first stands; null is empty."""
+    return F.array_distinct(F.coalesce(files, F.array().cast("array<string>")))
+
+
 def short_sha(sha: Column) -> Column:
     return F.substring(sha, 1, 7)
 
@@ -101,5 +106,6 @@ def glob_to_regex(glob: str) -> str:
 
 
 def artifact_regex(glob: str) -> str:
-    """Artifact-name pattern: ``*`` is anything, letters in either case."""
-    return "(?is)^" + ".*".join("".join(c if c.isalnum() or c in "_-" else "\\" + c for c in part) for part in glob.split("*")) + "\\z"
+    """Artifact-name pattern: ``*`` is anything, ``?`` one character, letters in either case."""
+    wild = {"*": ".*", "?": "."}
+    return "(?is)^" + "".join(wild.get(c) or (c if c.isalnum() or c in "_-" else "\\" + c) for c in glob) + "\\z"

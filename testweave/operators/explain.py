@@ -10,6 +10,7 @@ from ..functions import text as T
 from . import blame as B
 from . import classify as C
 from . import history as H
+from .report import start_hint
 
 
 def verdicts(runs: DataFrame, results: DataFrame, window: int = 30, run_ids: DataFrame | None = None, hunks: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
@@ -23,7 +24,7 @@ def verdicts(runs: DataFrame, results: DataFrame, window: int = 30, run_ids: Dat
     empty = F.array().cast("array<struct<o:double,depth:int,file:string,line:int,changed_file:string,proximity:string,confidence:double>>")
     met = rows.join(links, "id", "left").withColumn("blame", F.coalesce("blame", empty))
     text = T.replace_tokens(F.concat_ws("\n", "message", "stack"))
-    return C.classify(met.withColumn("normalized_text", text))
+    return C.classify(met.withColumn("normalized_text", text)).withColumn("hint", start_hint(F.col("kind"), F.col("blame"), F.col("stack"), F.col("changed_files")))
 
 
 def explain(runs: DataFrame, results: DataFrame, query: str, last: int = 20) -> dict:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.patterns import PLACE
 from ..schema import MODEL_VERDICT
 from . import classify as C
 
@@ -29,8 +30,20 @@ def failure_excerpt(stack: Column, most: int = 15) -> Column:
     return T.truncate_lines(stack, most)
 
 
+def start_hint(kind: Column, blame: Column, stack: Column, changed_files: Column) -> Column:
+    """``file:line`` where to start with a regression: the strongest link's frame, else the stack's first place in a changed file (by name), else its first place."""
+    forward = lambda p: F.replace(p, F.lit("\\"), F.lit("/"))
+    name = lambda p: F.lower(F.element_at(F.split(forward(p), "/"), -1))
+    places = F.transform(F.regexp_extract_all(stack, F.lit(PLACE), F.lit(0)), forward)
+    names = F.transform(F.coalesce(changed_files, F.array().cast("array<string>")), name)
+    changed = F.filter(places, lambda p: F.array_contains(names, F.regexp_replace(name(p), ":[0-9]+\\z", "")))
+    link = F.get(blame, F.lit(0))
+    at = F.when(link["line"].isNotNull(), F.concat(link["file"], F.lit(":"), link["line"]))
+    return F.when(kind == "real_regression", F.coalesce(at, F.get(changed, F.lit(0)), F.get(places, F.lit(0))))
+
+
 def render(verdicts: DataFrame, style: str = "markdown", most: int = 8) -> str:
-    """A short report: headline, then the first verdicts of each bucket and how many more there are."""
+    """A short report: headline, then the first verdicts of each bucket, where to start (column ``hint``, if there is one) and how many more there are."""
     h = C.headline(verdicts).first()
     rows = C.top_of_groups(verdicts, most).withColumn("evidence", F.slice("evidence", 1, 2)).collect()
     md = style == "markdown"
@@ -42,6 +55,8 @@ def render(verdicts: DataFrame, style: str = "markdown", most: int = 8) -> str:
             for r in mine:
                 name = r["test_key"][:12] if md else r["test_key"]
                 out += [f"- {'`' + name + '`' if md else name}: {r['kind']} ({r['confidence']})", *(f"  {e}" for e in r["evidence"])]
+                if "hint" in verdicts.columns and r["hint"]:
+                    out.append(f"  → start at {r['hint']}")
             if mine[0]["more"]:
                 out.append(f"… and {mine[0]['more']} more")
             out.append("")

@@ -111,19 +111,21 @@ parents AS (SELECT commit_sha AS parent_sha, test_key, {_ROLL} AS parent_outcome
 facts AS (SELECT j.id, j.run_id, j.test_key, j.commit_sha, j.parent_sha, j.attempt, j.message, j.fingerprint, f.prior_runs, f.ever_passed, f.considered, coalesce(f.flips, 0) AS flips, coalesce(f.unexplained, 0) AS unexplained,
  EXISTS (SELECT 1 FROM passes p WHERE p.commit_sha = j.commit_sha AND p.test_key = j.test_key AND p.attempt <> j.attempt) AS passed_elsewhere, q.parent_outcome, greatest(coalesce(s.branches, 1), 1) AS branches, u.changed_files, j.stack
  FROM joined j JOIN flipped f USING (run_id, test_key) LEFT JOIN parents q ON q.parent_sha = j.parent_sha AND q.test_key = j.test_key LEFT JOIN spread s ON s.fingerprint = j.fingerprint JOIN runs u ON u.id = j.run_id WHERE j.status IN ('failed', 'error')),
-blamed AS (SELECT *, list_contains(changed_files, regexp_extract(stack, 'src/part[0-9]+\\.py')) AS linked FROM facts),
+blamed AS (SELECT *, list_contains(changed_files, regexp_extract(stack, 'src/part[0-9]+\\.py')) AS linked, regexp_extract(stack, 'src/part[0-9]+\\.py:([0-9]+)', 1)::INT BETWEEN run_id % 30 - 5 AND run_id % 30 + 8 AS near FROM facts),
 verdicts AS (SELECT *, CASE WHEN passed_elsewhere THEN 'flake_confirmed' WHEN regexp_matches(message, 'ECONNREFUSED|503 with status') THEN 'infra_failure' WHEN prior_runs >= 1 AND NOT ever_passed THEN 'always_failing' WHEN unexplained >= 2 OR branches >= 6 THEN 'flake_likely' WHEN parent_outcome = 'pass' AND linked THEN 'real_regression' ELSE 'ambiguous' END AS kind FROM blamed),
-judged AS (SELECT *, CASE kind WHEN 'flake_confirmed' THEN 'high' WHEN 'infra_failure' THEN 'high' WHEN 'always_failing' THEN 'high' WHEN 'flake_likely' THEN 'medium' WHEN 'real_regression' THEN 'medium' ELSE 'low' END AS confidence, CASE kind WHEN 'real_regression' THEN 'needs_you' WHEN 'always_failing' THEN 'look_soon' WHEN 'ambiguous' THEN 'look_soon' ELSE 'safe_to_ignore' END AS bucket,
- list_position(['real_regression', 'always_failing', 'ambiguous', 'infra_failure', 'flake_confirmed', 'flake_likely'], kind) AS k, CASE kind WHEN 'flake_likely' THEN 1 WHEN 'real_regression' THEN 1 WHEN 'ambiguous' THEN 0 ELSE 2 END AS c FROM verdicts)
+judged AS (SELECT *, CASE kind WHEN 'flake_confirmed' THEN 'high' WHEN 'infra_failure' THEN 'high' WHEN 'always_failing' THEN 'high' WHEN 'flake_likely' THEN 'medium' WHEN 'real_regression' THEN CASE WHEN near THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence, CASE kind WHEN 'real_regression' THEN 'needs_you' WHEN 'always_failing' THEN 'look_soon' WHEN 'ambiguous' THEN 'look_soon' ELSE 'safe_to_ignore' END AS bucket,
+ list_position(['real_regression', 'always_failing', 'ambiguous', 'infra_failure', 'flake_confirmed', 'flake_likely'], kind) AS k, CASE kind WHEN 'flake_likely' THEN 1 WHEN 'real_regression' THEN CASE WHEN near THEN 2 ELSE 1 END WHEN 'ambiguous' THEN 0 ELSE 2 END AS c FROM verdicts)
 """.replace("branches >= 6", "branches >= 3")
 
 
 def verdict_rows(u, r):
-    """Failing results with their verdicts; the changed files of a run stand in for its diff."""
+    """Failing results with their verdicts; the changed files of a run, with three lines each at a place by its id, stand in for its diff."""
     rows = C.facts(u, r)
     frames = B.parse_frames(F.col("stack"))
     own = F.filter(F.transform(frames, lambda f, i: F.struct(i.alias("depth"), f["file"].alias("file"), f["line"].alias("line"))), lambda f: F.exists("changed_files", lambda c: B.same_path(c, f["file"])))
-    link = F.transform(own, lambda f: F.struct(f["depth"].alias("depth"), f["file"].alias("file"), F.lit("same_file").alias("proximity"), f["file"].alias("changed_file"), F.lit(0.5).alias("confidence")))
+    at = F.col("run_id") % 30
+    near = lambda line: F.when((line == at) | (line == at + 2), "exact_line").when(line.between(at - 5, at + 8), "same_hunk").otherwise("same_file")
+    link = F.transform(own, lambda f: F.struct(f["depth"].alias("depth"), f["file"].alias("file"), near(f["line"]).alias("proximity"), f["file"].alias("changed_file"), F.lit(0.5).alias("confidence")))
     return C.classify(rows.withColumn("blame", link).withColumn("normalized_text", T.replace_tokens(F.col("message"))))
 
 
@@ -135,7 +137,21 @@ on_history("bucket_summary", _FACTS + "SELECT bucket, kind, count(*) AS n FROM j
 on_history("exit_code", _FACTS + "SELECT CASE WHEN count(*) FILTER (WHERE kind = 'real_regression') > 0 THEN 1 ELSE 0 END AS exit_code FROM judged", lambda u, r: C.exit_code(verdict_rows(u, r)))
 on_history("group_by_action", _FACTS + "SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY k, c DESC, id) AS place FROM judged", lambda u, r: C.group_by_action(verdict_rows(u, r).select("id", "kind", "confidence")).select("id", "bucket", F.col("place").cast("long").alias("place")))
 on_history("group_top8", _FACTS + "SELECT id, bucket, greatest(count(*) OVER (PARTITION BY bucket) - 8, 0) AS more FROM judged QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY k, c DESC, id) <= 8", lambda u, r: C.top_of_groups(verdict_rows(u, r).select("id", "kind", "confidence")).select("id", "bucket", "more"))
-on_history("escalation_batch", _FACTS + "SELECT id, test_key FROM judged WHERE kind = 'ambiguous' ORDER BY id LIMIT 15", lambda u, r: C.escalation_batch(verdict_rows(u, r)).select("id", "test_key"))
+on_history("escalation_batch", _FACTS + "SELECT id, test_key FROM judged WHERE kind = 'ambiguous' ORDER BY id, test_key LIMIT 15", lambda u, r: C.escalation_batch(verdict_rows(u, r)).select("id", "test_key"))
+on_history("escalation_plan", _FACTS + "SELECT id, test_key, CASE WHEN p > 15 THEN 'deferred' WHEN (SELECT sum(r.duration_ms) FROM results r WHERE r.id IN (SELECT id FROM judged WHERE kind = 'ambiguous' ORDER BY id, test_key LIMIT 15)) > 30000 THEN 'too_large' ELSE 'sent' END AS state FROM (SELECT id, test_key, row_number() OVER (ORDER BY id, test_key) AS p FROM judged WHERE kind = 'ambiguous')", lambda u, r: C.escalation_plan(verdict_rows(u, r), r.select("id", F.col("duration_ms").alias("tokens")), guardrail=30000))
+
+
+def _retried(r):
+    """Results with up to two failed tries each, by id."""
+    t = lambda k: F.struct(F.concat(F.lit(f" \n retry {k} of "), "test_name", F.lit("\nmore")).alias("message"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("stack"))
+    return r.withColumn("retries", F.slice(F.array(t(1), t(2)), F.lit(1), (F.col("id") % 3).cast("int")))
+
+
+_PASSED = """, passed AS (SELECT run_id, test_key, commit_sha, attempt, min(id) AS id, (sum(id % 3))::BIGINT AS n, max(test_name) AS test_name FROM joined WHERE status = 'passed' GROUP BY ALL),
+ others AS (SELECT p.run_id, p.test_key, list_sort(list(DISTINCT j.attempt)) AS a FROM passed p JOIN joined j ON j.commit_sha = p.commit_sha AND j.test_key = p.test_key AND j.attempt <> p.attempt WHERE j.status IN ('failed', 'error') GROUP BY ALL)
+"""
+on_history("merged_passes", _PASSED + "SELECT id, run_id, test_key, n FROM passed", lambda u, r: C.merged_passes(_retried(r)).select("id", "run_id", "test_key", F.size("retries").cast("long").alias("n")))
+on_history("classify_passed", _PASSED + "SELECT p.id, 'flake_confirmed' AS kind, concat_ws(' | ', CASE WHEN n > 0 THEN concat('failed ', n, ' time(s), then passed in attempt ', attempt, ': retry 1 of ', test_name) END, CASE WHEN a IS NOT NULL THEN concat('failed in attempts ', array_to_string(a, ', '), ' of commit ', left(commit_sha, 7), ', passed in attempt ', attempt) END) AS evidence FROM passed p LEFT JOIN others o ON o.run_id = p.run_id AND o.test_key = p.test_key WHERE n > 0 OR a IS NOT NULL", lambda u, r: C.passed_verdicts(u, _retried(r)).select("id", "kind", F.array_join("evidence", " | ").alias("evidence")))
 _ANSWERS = "answers AS (SELECT test_key, arg_max(kind, position) AS mk, arg_max(sure, position) AS ms FROM (SELECT DISTINCT test_key, p AS position, ['flake_likely', 'real_regression', 'unknown'][((ascii(test_key) + p) % 3 + 1)::INT] AS kind, ['high', 'low'][(ascii(test_key) % 2 + 1)::INT] AS sure FROM results, (SELECT unnest([0, 1]) AS p)) GROUP BY ALL)"
 
 
@@ -147,7 +163,7 @@ def _answers(r):
 
 _ESCALATED = _FACTS + f", {_ANSWERS}, escalated AS (SELECT id, CASE WHEN j.kind = 'ambiguous' THEN CASE WHEN mk = 'unknown' THEN 'ambiguous' ELSE mk END ELSE j.kind END AS kind, CASE WHEN j.kind = 'ambiguous' THEN CASE WHEN mk = 'unknown' THEN 'low' WHEN mk = 'real_regression' AND ms <> 'high' THEN 'medium' ELSE ms END ELSE confidence END AS confidence, CASE WHEN j.kind = 'ambiguous' THEN 'model' ELSE 'history' END AS source FROM judged j LEFT JOIN answers USING (test_key))"
 on_history("apply_escalation", _ESCALATED + "SELECT * FROM escalated", lambda u, r: C.apply_escalation(verdict_rows(u, r), _answers(r)).select("id", "kind", "confidence", "source"))
-on_history("accounting", _ESCALATED + "SELECT count(*) FILTER (WHERE source <> 'model') AS from_history, count(*) FILTER (WHERE source = 'model') AS from_model FROM escalated", lambda u, r: C.accounting(C.apply_escalation(verdict_rows(u, r), _answers(r))))
+on_history("accounting", _ESCALATED + "SELECT count(*) FILTER (WHERE source <> 'model') AS from_history, count(*) FILTER (WHERE source = 'model') AS from_model, 0.05::DOUBLE AS usd FROM escalated", lambda u, r: C.accounting(C.apply_escalation(verdict_rows(u, r), _answers(r)), usd=0.05))
 on_history("model_to_verdict", f", {_ANSWERS} SELECT test_key, CASE WHEN mk = 'unknown' THEN 'ambiguous' ELSE mk END AS kind, CASE WHEN mk = 'unknown' THEN 'low' WHEN mk = 'real_regression' AND ms <> 'high' THEN 'medium' ELSE ms END AS confidence FROM answers", lambda u, r: _answers(r).where("position = 1").select("test_key", *(c.alias(n) for c, n in zip(C.model_verdict(F.col("kind"), F.col("confidence")), ("kind", "confidence")))))
 on_history("cost_estimate", _FLAKY + ", n AS (SELECT suite, count(*) FILTER (WHERE flips >= 2) AS failures FROM stats GROUP BY ALL) SELECT suite, failures, ceil(failures / 15)::BIGINT AS batches, round(ceil(failures / 15) * CASE suite WHEN 'tests.suite1' THEN 0.010 WHEN 'tests.suite2' THEN 0.020 ELSE 0.050 END, 6) AS usd FROM n", lambda u, r: _stats(u, r).groupBy("suite").agg(F.count_if(F.col("flips") >= 2).alias("failures")).withColumn("e", C.cost_estimate(F.col("failures"), F.when(F.col("suite") == "tests.suite1", "small").when(F.col("suite") == "tests.suite2", "medium").otherwise("large"), F.lit(False))).select("suite", "failures", F.col("e.batches").alias("batches"), F.round("e.usd", 6).alias("usd")))
 on_history("call_cost", "SELECT id, round((duration_ms * 5.0 + (id % 100) * 0.5 + (id % 10) * 6.25 + (id % 7) * 25.0) / 1e6, 9) AS usd FROM results", lambda u, r: r.select("id", F.round(C.call_cost(F.col("duration_ms"), F.col("id") % 100, F.col("id") % 10, F.col("id") % 7, 5.0, 25.0), 9).alias("usd")))
@@ -180,7 +196,15 @@ on_history("top_blame", f"{_LINKS} SELECT failure, string_agg(proximity, ',' ORD
 on_history("same_path", "SELECT u.id, changed_files[1] = concat('src/part', (u.id % 7)::VARCHAR, '.py') AS same FROM runs u", lambda u, r: u.select("id", B.same_path(F.element_at("changed_files", 1), F.concat(F.lit(".\\SRC\\Part"), (F.col("id") % 7).cast("string"), F.lit(".py"))).alias("same")))
 on_history("test_file_candidates", "SELECT DISTINCT suite, concat(split_part(suite, '.', 2), '.java,', split_part(suite, '.', 2), '.kt,', replace(suite, '.', '/'), '.py,', split_part(suite, '.', 2), '.py') AS candidates FROM results", lambda u, r: r.select("suite").distinct().select("suite", F.array_join(C.test_file_candidates(F.lit(None).cast("string"), F.col("suite")), ",").alias("candidates")))
 on_history("test_file_touched", f"SELECT run_id, test_key, bool_or({_TOUCHED}) AS touched FROM joined GROUP BY ALL", lambda u, r: H.joined(u, r).groupBy("run_id", "test_key").agg(F.bool_or(C.test_file_touched(F.col("changed_files"), C.test_file_candidates(F.lit(None).cast("string"), F.col("suite")))).alias("touched")))
-on_history("distinct_changed_files", "SELECT id, array_to_string(changed_files, '|') AS files FROM runs", lambda u, r: u.select("id", F.array_join(F.array_distinct(F.concat("changed_files", F.reverse("changed_files"))), "|").alias("files")))
+on_history("distinct_changed_files", "SELECT id, array_to_string(changed_files, '|') AS files FROM runs", lambda u, r: u.select("id", F.array_join(K.distinct_files(F.concat("changed_files", F.reverse("changed_files"))), "|").alias("files")))
+_PART, _HELP = "regexp_extract(stack, 'src/part[0-9]+\\.py:[0-9]+')", "regexp_extract(stack, 'lib/helper[0-9]+\\.py:12')"
+
+
+def _link():
+    return F.array(F.struct(F.concat(F.lit("src/at"), (F.col("run_id") % 7).cast("string"), F.lit(".py")).alias("file"), (F.col("run_id") % 100).alias("line")))
+
+
+on_history("start_hint", f"SELECT id, CASE WHEN status = 'error' THEN NULL WHEN run_id % 3 = 0 THEN concat('src/at', run_id % 7, '.py:', run_id % 100) WHEN {_HELP} = concat('lib/helper', run_id % 5, '.py:12') THEN {_HELP} ELSE {_PART} END AS hint FROM results WHERE status IN ('failed', 'error')", lambda u, r: r.where(K.failing(F.col("status"))).select("id", P.start_hint(F.when(F.col("status") == "failed", "real_regression").otherwise("ambiguous"), F.when(F.col("run_id") % 3 == 0, _link()), F.col("stack"), F.array(F.concat(F.lit("LIB\\Helper"), (F.col("run_id") % 5).cast("string"), F.lit(".py")))).alias("hint")))
 on_history("changed_files_codec", "SELECT id, array_to_string(changed_files, '|') AS files FROM runs", lambda u, r: u.select("id", F.array_join(K.split_files(F.concat(F.lit(" \n"), K.join_files(F.col("changed_files")), F.lit(" \n\n"))), "|").alias("files")))
 
 # --- keys and text ---------------------------------------------------------------------------------------------------

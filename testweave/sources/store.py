@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.keys import artifact_regex
 from ..operators.history import new_runs
 from ..schema import RESULTS, RUNS
+from .reports import analyzed, parse_files
 
 
 class HistoryStore:
@@ -75,3 +77,45 @@ def backfill(store: HistoryStore, runs: DataFrame, results: DataFrame, cutoff_ms
     inserted = store.record(wanted, results)
     r = inserted.agg(F.count(F.lit(1)).alias("n"), F.min("given").alias("oldest")).first()
     return {"scanned": seen, "out_of_range": seen - kept, "already_recorded": kept - r["n"], "inserted": r["n"], "oldest": r["oldest"], "stopped": "cutoff" if cutoff_ms is not None and kept < seen else "end"}
+
+
+def wanted_artifacts(artifacts: DataFrame, name: str = "*") -> DataFrame:
+    """Artifacts that have not expired and whose name fits the pattern."""
+    return artifacts.where(~F.coalesce("expired", F.lit(False)) & F.col("name").rlike(artifact_regex(name)))
+
+
+def backfill_archives(store: HistoryStore, runs: DataFrame, artifacts: DataFrame, name: str = "*", cutoff_ms: int | None = None, since: int | None = None) -> dict:
+    """Record past runs from the zip archives of their builds; counts of what happened on the way, and why it stopped.
+
+    ``runs`` has the columns of the table, ``artifacts`` run_id, name, expired and content (bytes of a zip). Runs that
+    started before ``cutoff_ms`` are out of range; of the others those from ``since`` on are done already, as are recorded
+    ones. XML members of fitting artifacts are parsed; a run without any result is left out, so that it can be tried again.
+    """
+    in_range = runs if cutoff_ms is None else runs.where(F.col("started_at") >= cutoff_ms)
+    wanted = in_range if since is None else in_range.where(F.col("id") < since)
+    fresh = new_runs(wanted, store.runs())
+    files = wanted_artifacts(artifacts, name).join(fresh.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    at = f"{store.root}/staged/parsed={uuid.uuid4().hex}"
+    parsed = parse_files(files.select(F.concat(F.col("run_id").cast("string"), F.lit("/"), "name", F.lit(".zip")).alias("path"), "content"))
+    parsed.withColumn("run_id", F.substring_index("path", "/", 1).cast("long")).write.parquet(at)
+    parsed = store.spark.read.parquet(at)
+    # an archive that cannot be read has no member in its path; other reports than XML are not counted
+    archive = F.col("error").isNotNull() & ~F.col("path").contains("!")
+    xml = parsed.where(F.lower("path").endswith(".xml"))
+    rows = analyzed(xml).select(F.xxhash64("path", "ordinal").alias("id"), "run_id", "suite", F.col("name").alias("test_name"), "test_key", "status", "duration_ms", F.col("failure.message").alias("message"), F.col("failure.stack").alias("stack"), "fingerprint")
+    given = store.record(fresh.join(rows.select("run_id").distinct().withColumnRenamed("run_id", "id"), "id", "left_semi"), rows)
+    recorded = given.select(F.col("given").alias("run_id"))
+    n_range, n_wanted, n_fresh, n_recorded = in_range.count(), wanted.count(), fresh.count(), recorded.count()
+    stopped = "window" if cutoff_ms is not None and n_range < runs.count() else "since" if since is not None else "exhausted"
+    return {
+        "scanned": n_range,
+        "matched": files.select("run_id").distinct().count(),
+        "recorded": n_recorded,
+        "already_recorded": n_wanted - n_fresh,
+        "results": rows.join(recorded, "run_id", "left_semi").count(),
+        "artifacts": files.count(),
+        "bad_archives": parsed.where(archive).count(),
+        "parse_failures": xml.where(F.col("error").isNotNull()).count(),
+        "oldest": wanted.agg(F.min("id").alias("o")).first()["o"],
+        "stopped": stopped,
+    }
