@@ -4,8 +4,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from testweave.llm import quality, toxicity
 
@@ -121,3 +123,18 @@ def test_passages_of_every_row(spark):
     assert any("idiot moron stupid loser" in text[a:b] for a, b in spans)
     assert got[2].passages and got[3].passages == "" and got[4].passages == ""
     assert all(r.passages == ",".join(f"{a}:{b}" for a, b, _ in model.passages(t or "")) for r, t in ((got[1], text), (got[4], None)))
+
+
+def test_a_long_labelled_text_does_not_empty_the_sample(spark):
+    docs, labels = frames(spark)
+    before = {r.doc_id: r.score for r in quality.score_quality(docs, quality.fit(docs, labels, passages=2000, longest=50)).collect() if r.doc_id and r.doc_id < 400}
+    # id 12 is a labelled one of the fit; its text now passes both bounds
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == 12, F.repeat(F.coalesce("text", F.lit("")), 3000)).otherwise(F.col("text")))
+    without = labels.where("doc_id is null or doc_id <> 12")
+    params, same = quality.fit(longer, labels, passages=2000, longest=50), quality.fit(docs, without, passages=2000, longest=50)
+    assert all(np.array_equal(params[k], same[k]) for k in params)
+    after = {r.doc_id: r.score for r in quality.score_quality(longer, params).collect() if r.doc_id and r.doc_id < 400}
+    assert len({round(s, 6) for s in after.values()}) > 50
+    assert sum((after[i] >= 0.7) == (before[i] >= 0.7) for i in after if i != 12) > 0.97 * len(after)
+    with pytest.raises(ValueError):
+        quality.fit(longer.where("doc_id = 12"), labels, passages=2000, longest=50)

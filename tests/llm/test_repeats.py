@@ -96,8 +96,9 @@ def test_pieces_cover_each_window_once():
 
 def test_passages_at_the_borders_of_pieces_of_a_long_text(spark):
     rng = random.Random(1)
-    letters = "".join(rng.choice("abcdefghij") for _ in range(PIECE + 60_000))
+    letters = "".join(rng.choice("abcdefghij") for _ in range(4 * PIECE + 60_000))
     marks = [PIECE - 200, PIECE - 1, PIECE - 399, PIECE + 1000, (1 << 20) - 200, 2 * (1 << 20) + 5]
+    assert max(marks) + 400 <= len(letters)
     rows = [(0, letters)] + [(i + 1, f"<{i}>" + letters[a : a + 400] + f"<{i}>") for i, a in enumerate(marks)]
     got = {r.doc_id: r for r in repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
     assert [got[i + 1].n_removed for i in range(len(marks))] == [400] * len(marks)

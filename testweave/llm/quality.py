@@ -4,8 +4,10 @@ A text is a bag of passages of ``PASSAGE`` bytes. Each passage is encoded by fre
 and of pairs of character classes, through one hidden layer; gated attention (a tanh branch times a sigmoid branch)
 weighs the passages; the weighted mean is scored. Only documents have labels, the weights are learnt from them.
 
-Training uses a bounded sample (``SAMPLE`` labelled rows, the first by hash of their id, as far as they have ``PASSAGES``
-passages in all) whose passages the driver fits by Adam with a fixed seed; the result is a few thousand numbers. Scoring handles each row whole and alone, no shuffle.
+Training uses a bounded sample: ``SAMPLE`` labelled rows, the first by hash of their id, with ``PASSAGES`` passages in all
+and ``LONGEST`` in one text; a text that is longer or no longer fits is passed over, those after it still count. The driver
+fits their passages by Adam with a fixed seed; the result is a few thousand numbers. Scoring handles each row whole and
+alone, no shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ WIDTH = HASHED + CLASSES * CLASSES + 1
 HIDDEN, GATE = 24, 12
 SAMPLE = 4000
 PASSAGES = 60_000
+LONGEST = 1_200
 THRESHOLD = 0.7
 
 
@@ -136,8 +139,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, r
     return found.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("id", "text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 4, rest: int = 2, rows: int = SAMPLE, passages: int = PASSAGES) -> dict:
-    """The classifier's parameters."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 4, rest: int = 2, rows: int = SAMPLE, passages: int = PASSAGES, longest: int = LONGEST) -> dict:
+    """The classifier's parameters; without any labelled row every score is the same. Labelled rows of which none fits the bounds raise."""
 
     def encoded(batches):
         for b in slices(batches):
@@ -148,8 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int =
     sample = labelled_sample(docs, labels, label, fold, rest, rows)
     sizes = sample.select("id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).cast("long").alias("n"))
     kept = sizes.orderBy(F.xxhash64("id"), "id").collect()  # at most ``rows`` pairs of numbers
-    total = np.cumsum([r.n for r in kept]) if kept else np.zeros(0)
-    ids = [r.id for r, t in zip(kept, total) if t <= passages]
+    ids, room = [], passages
+    for r in kept:
+        if r.n <= min(longest, room):
+            ids.append(r.id)
+            room -= r.n
+    if kept and not ids:
+        raise ValueError(f"each of the {len(kept)} labelled texts has more than {min(longest, passages)} passages: nothing to fit")
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
     got = sorted((r.id, bytes(r.x), r.y) for r in sample.join(F.broadcast(chosen), "id").mapInArrow(encoded, "id long, y int, x binary").collect())
     xs = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for _, x, _ in got]
