@@ -101,3 +101,10 @@ def op4(spark, sf_dir):
     from .jaccard import near_documents
 
     return near_documents(table(spark, sf_dir, "documents"))
+
+
+@_register("op12_sentencepiece_offsets")
+def op12(spark, sf_dir):
+    from .pieces import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
