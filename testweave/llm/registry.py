@@ -123,3 +123,24 @@ def op13(spark, sf_dir):
     from .negatives import mine_negatives
 
     return mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
+_PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+sums AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY ALL),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, a, ws, c, array_to_string(ws[1:c], ' ') AS x, array_to_string(ws[c + 1:], ' ') AS y FROM cand, (SELECT unnest([1, 2]) AS c) WHERE c < k),
+scored AS (SELECT u.*, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM cuts u JOIN f l ON l.lang = u.lang AND l.phrase = x AND l.k = c JOIN f r ON r.lang = u.lang AND r.phrase = y AND r.k = u.k - c),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(ws[1:2], ' ') AS phrase FROM cand WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(ws[2:3], ' ') FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE NOT coalesce(100 * longer >= 50 * a, false))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN sums USING (lang) QUALIFY rank <= 2000"""
+
+
+@_register("op11_trie_collocations", _PHRASES)
+def op11(spark, sf_dir):
+    from .phrases import mine_phrases
+
+    return mine_phrases(table(spark, sf_dir, "documents"))
