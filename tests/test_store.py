@@ -4,6 +4,7 @@ from testweave.functions import keys as K
 from testweave.operators import classify as C
 from testweave.operators import history as H
 from testweave.operators import report as P
+from testweave.operators.facts import facts
 from testweave.schema import RESULTS, RUNS
 from testweave.sources.store import HistoryStore, backfill
 from testweave.streaming.online import failures_by_window, online_flips, report_stream
@@ -28,10 +29,10 @@ def test_flakiness_cases(spark):
 
 def test_facts_see_the_past_only(spark):
     u, r = history(spark, "PFPFFE")
-    rows = {x.run_id: x for x in C.facts(u, r).collect()}
+    rows = {x.run_id: x for x in facts(u, r).collect()}
     assert (rows[2].prior_runs, rows[2].ever_passed, rows[2].parent_outcome, rows[2].flips) == (1, True, "pass", 1)
     assert (rows[4].flips, rows[5].flips, rows[5].parent_outcome) == (3, 3, "fail")
-    only = {x.run_id: x.flips for x in C.facts(u, r, window=2).collect()}
+    only = {x.run_id: x.flips for x in facts(u, r, window=2).collect()}
     assert only == {2: 1, 4: 1, 5: 0, 6: 0}
 
 

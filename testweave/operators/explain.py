@@ -7,24 +7,47 @@ from pyspark.sql import functions as F
 
 from ..errors import TestNotFoundError
 from ..functions import text as T
+from ..functions.keys import failing
 from . import blame as B
 from . import classify as C
 from . import history as H
-from .report import start_hint
+from .facts import facts
+from .report import stack_places, start_at
 
 
-def verdicts(runs: DataFrame, results: DataFrame, window: int = 30, run_ids: DataFrame | None = None, hunks: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
-    """Verdict of every failing result (of ``run_ids``, if given). Without hunks the stored changed files stand in: only same_file and imported_by can apply."""
-    rows = C.facts(runs, results, window, run_ids)
-    frames = rows.select(F.col("id").alias("failure"), F.col("run_id").alias("change"), F.posexplode(B.parse_frames(F.col("stack"))).alias("depth", "f")).select("failure", "change", "depth", "f.file", "f.line")
+def blamed(runs: DataFrame, results: DataFrame, hunks: DataFrame | None = None, imports: DataFrame | None = None, run_ids: DataFrame | None = None) -> DataFrame:
+    """(id, run_id, test_key, blame): what the stacks of failing results have to do with their run's change, for those that have.
+
+    Only stacks that hold the name of a changed file (or of one that imports such a file) are parsed. Without ``hunks``
+    the stored changed files stand in: then only same_file and imported_by can apply.
+    """
     if hunks is None:
         none = F.array().cast("array<int>")
         hunks = runs.select(F.col("id").alias("change"), F.posexplode("changed_files").alias("ordinal", "file")).select("change", "ordinal", "file", F.lit(2**31 - 100).alias("new_start"), F.lit(0).alias("new_lines"), none.alias("changed_lines"))
-    links = B.top_blame(B.correlate(frames, hunks, imports)).withColumnRenamed("failure", "id")
-    empty = F.array().cast("array<struct<o:double,depth:int,file:string,line:int,changed_file:string,proximity:string,confidence:double>>")
-    met = rows.join(links, "id", "left").withColumn("blame", F.coalesce("blame", empty))
+    named = hunks.select("change", B.base_name(F.col("file")).alias("name"))
+    if imports is not None:
+        named = named.unionByName(imports.select("change", B.base_name(F.col("file")).alias("name")))
+    names = named.groupBy("change").agg(F.collect_set("name").alias("names"))  # the files of one change
+    bad = results.where(failing(F.col("status")) & F.col("stack").isNotNull()).select("id", "run_id", "test_key", "stack")
+    if run_ids is not None:
+        bad = bad.join(run_ids, "run_id", "left_semi")
+    low = F.lower("stack")
+    near = bad.join(names, bad["run_id"] == names["change"]).where(F.exists("names", lambda n: F.contains(low, n)))
+    frames = near.select(F.struct("id", "run_id", "test_key").alias("failure"), "change", F.posexplode(B.parse_frames(F.col("stack"))).alias("depth", "f")).select("failure", "change", "depth", "f.file", "f.line")
+    return B.top_blame(B.correlate(frames, hunks, imports)).select("failure.*", "blame")
+
+
+def verdicts(runs: DataFrame, results: DataFrame, window: int = 30, run_ids: DataFrame | None = None, hunks: DataFrame | None = None, imports: DataFrame | None = None, as_of: str = "run") -> DataFrame:
+    """Verdict of every failing result (of ``run_ids``, if given), from the history as it was before its run, or as it is ``now``.
+
+    Failure texts are looked at where they are read; what is shuffled is their label and their links.
+    """
     text = T.replace_tokens(F.concat_ws("\n", "message", "stack"))
-    return C.classify(met.withColumn("normalized_text", text)).withColumn("hint", start_hint(F.col("kind"), F.col("blame"), F.col("stack"), F.col("changed_files")))
+    rows = facts(runs, results, window, run_ids, as_of, {"infra": F.when(failing(F.col("status")), C.infra_label(text)), "places": F.when(failing(F.col("status")), stack_places(F.col("stack")))})
+    links = blamed(runs, results, hunks, imports, run_ids)
+    empty = F.array().cast("array<struct<o:double,depth:int,file:string,line:int,changed_file:string,proximity:string,confidence:double>>")
+    met = rows.join(links, ["id", "run_id", "test_key"], "left").withColumn("blame", F.coalesce("blame", empty))
+    return C.classify(met).withColumn("hint", start_at(F.col("kind"), F.col("blame"), F.col("places"), F.col("changed_files"))).drop("places")
 
 
 def explain(runs: DataFrame, results: DataFrame, query: str, last: int = 20) -> dict:
@@ -40,7 +63,7 @@ def explain(runs: DataFrame, results: DataFrame, query: str, last: int = 20) ->
     flips = H.history_flips(H.timeline(runs, mine), last).first()
     # over the whole history: other tests' rows count in how far the fingerprint has spread
     run = results.sparkSession.createDataFrame([(failure["run_id"],)], "run_id long") if failure else None
-    verdict = verdicts(runs, results, run_ids=run).where(F.col("id") == failure["id"]).select("kind", "confidence", "evidence").first() if failure else None
+    verdict = verdicts(runs, results, run_ids=run, as_of="now").where(F.col("id") == failure["id"]).select("kind", "confidence", "evidence").first() if failure else None
     return {"test": found[0].asDict(), "others": [f.asDict() for f in found[1:]], "latest_failure": failure and failure.asDict(), "timeline": [r.asDict() for r in reversed(rows)], "spread": spread and spread.asDict(), "flips": flips and flips.asDict(), "verdict": verdict and verdict.asDict(recursive=True)}
 
 

@@ -30,11 +30,18 @@ def failure_excerpt(stack: Column, most: int = 15) -> Column:
     return T.truncate_lines(stack, most)
 
 
-def start_hint(kind: Column, blame: Column, stack: Column, changed_files: Column) -> Column:
+def stack_places(stack: Column) -> Column:
+    """All ``file:line`` places of a stack, in order."""
+    return F.transform(F.regexp_extract_all(stack, F.lit(PLACE), F.lit(0)), _forward)
+
+
+def _forward(p: Column) -> Column:
+    return F.replace(p, F.lit("\\"), F.lit("/"))
+
+
+def start_at(kind: Column, blame: Column, places: Column, changed_files: Column) -> Column:
     """``file:line`` where to start with a regression: the strongest link's frame, else the stack's first place in a changed file (by name), else its first place."""
-    forward = lambda p: F.replace(p, F.lit("\\"), F.lit("/"))
-    name = lambda p: F.lower(F.element_at(F.split(forward(p), "/"), -1))
-    places = F.transform(F.regexp_extract_all(stack, F.lit(PLACE), F.lit(0)), forward)
+    name = lambda p: F.lower(F.element_at(F.split(_forward(p), "/"), -1))
     names = F.transform(F.coalesce(changed_files, F.array().cast("array<string>")), name)
     changed = F.filter(places, lambda p: F.array_contains(names, F.regexp_replace(name(p), ":[0-9]+\\z", "")))
     link = F.get(blame, F.lit(0))
@@ -42,6 +49,11 @@ def start_hint(kind: Column, blame: Column, stack: Column, changed_files: Column
     return F.when(kind == "real_regression", F.coalesce(at, F.get(changed, F.lit(0)), F.get(places, F.lit(0))))
 
 
+def start_hint(kind: Column, blame: Column, stack: Column, changed_files: Column) -> Column:
+    """:func:`start_at` from the stack itself."""
+    return start_at(kind, blame, stack_places(stack), changed_files)
+
+
 def render(verdicts: DataFrame, style: str = "markdown", most: int = 8) -> str:
     """A short report: headline, then the first verdicts of each bucket, where to start (column ``hint``, if there is one) and how many more there are."""
     h = C.headline(verdicts).first()

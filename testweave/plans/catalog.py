@@ -13,6 +13,8 @@ from ..functions import text as T
 from ..operators import blame as B
 from ..operators import classify as C
 from ..operators import history as H
+from ..operators import explain as E
+from ..operators import facts as N
 from ..operators import report as P
 from ..sources.reports import analyzed, parse_files
 from ..streaming.online import failures_by_window
@@ -102,35 +104,46 @@ on_history("record_run_dedup", f"SELECT id FROM (SELECT *, row_number() OVER (PA
 
 # --- verdicts --------------------------------------------------------------------------------------------------------
 
-_FACTS = f""", {_TIMELINE}, {_SPREAD},
+_HEAD = f""", {_TIMELINE},
 lagged AS (SELECT *, lag(status = 'passed') OVER past AS was, count(*) OVER before AS prior_runs, coalesce(bool_or(status = 'passed') OVER before, false) AS ever_passed, count(*) OVER (past ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS considered,
  {_TOUCHED} AS touched FROM timeline WINDOW past AS (PARTITION BY test_key ORDER BY started_at, run_id), before AS (PARTITION BY test_key ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 flipped AS (SELECT *, (sum(((status = 'passed') <> was)::INT) OVER inside)::BIGINT AS flips, (sum(((status = 'passed') <> was AND NOT touched)::INT) OVER inside)::BIGINT AS unexplained FROM lagged WINDOW inside AS (PARTITION BY test_key ORDER BY started_at, run_id ROWS BETWEEN 28 PRECEDING AND CURRENT ROW)),
-passes AS (SELECT DISTINCT commit_sha, test_key, attempt FROM joined WHERE status = 'passed'),
-parents AS (SELECT commit_sha AS parent_sha, test_key, {_ROLL} AS parent_outcome FROM joined GROUP BY ALL),
-facts AS (SELECT j.id, j.run_id, j.test_key, j.commit_sha, j.parent_sha, j.attempt, j.message, j.fingerprint, f.prior_runs, f.ever_passed, f.considered, coalesce(f.flips, 0) AS flips, coalesce(f.unexplained, 0) AS unexplained,
- EXISTS (SELECT 1 FROM passes p WHERE p.commit_sha = j.commit_sha AND p.test_key = j.test_key AND p.attempt <> j.attempt) AS passed_elsewhere, q.parent_outcome, greatest(coalesce(s.branches, 1), 1) AS branches, u.changed_files, j.stack
- FROM joined j JOIN flipped f USING (run_id, test_key) LEFT JOIN parents q ON q.parent_sha = j.parent_sha AND q.test_key = j.test_key LEFT JOIN spread s ON s.fingerprint = j.fingerprint JOIN runs u ON u.id = j.run_id WHERE j.status IN ('failed', 'error')),
+failing AS (SELECT *, row_number() OVER () AS rowno FROM joined WHERE status IN ('failed', 'error')),
+"""
+_TAIL = """facts AS (SELECT j.id, j.run_id, j.test_key, j.commit_sha, j.parent_sha, j.attempt, j.message, j.fingerprint, f.prior_runs, f.ever_passed, f.considered, coalesce(f.flips, 0) AS flips, coalesce(f.unexplained, 0) AS unexplained,
+ coalesce(e.passes, 0) > 0 AS passed_elsewhere, q.parent_outcome, greatest(coalesce(s.branches, 0), 1) AS branches, j.changed_files, j.stack
+ FROM failing j JOIN flipped f USING (run_id, test_key) LEFT JOIN elsewhere e USING (rowno) LEFT JOIN parents q USING (rowno) LEFT JOIN spreads s USING (rowno)),
 blamed AS (SELECT *, list_contains(changed_files, regexp_extract(stack, 'src/part[0-9]+\\.py')) AS linked, regexp_extract(stack, 'src/part[0-9]+\\.py:([0-9]+)', 1)::INT BETWEEN run_id % 30 - 5 AND run_id % 30 + 8 AS near FROM facts),
-verdicts AS (SELECT *, CASE WHEN passed_elsewhere THEN 'flake_confirmed' WHEN regexp_matches(message, 'ECONNREFUSED|503 with status') THEN 'infra_failure' WHEN prior_runs >= 1 AND NOT ever_passed THEN 'always_failing' WHEN unexplained >= 2 OR branches >= 6 THEN 'flake_likely' WHEN parent_outcome = 'pass' AND linked THEN 'real_regression' ELSE 'ambiguous' END AS kind FROM blamed),
+verdicts AS (SELECT *, CASE WHEN passed_elsewhere THEN 'flake_confirmed' WHEN regexp_matches(message, 'ECONNREFUSED|503 with status') THEN 'infra_failure' WHEN prior_runs >= 1 AND NOT ever_passed THEN 'always_failing' WHEN unexplained >= 2 OR branches >= 3 THEN 'flake_likely' WHEN parent_outcome = 'pass' AND linked THEN 'real_regression' ELSE 'ambiguous' END AS kind FROM blamed),
 judged AS (SELECT *, CASE kind WHEN 'flake_confirmed' THEN 'high' WHEN 'infra_failure' THEN 'high' WHEN 'always_failing' THEN 'high' WHEN 'flake_likely' THEN 'medium' WHEN 'real_regression' THEN CASE WHEN near THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence, CASE kind WHEN 'real_regression' THEN 'needs_you' WHEN 'always_failing' THEN 'look_soon' WHEN 'ambiguous' THEN 'look_soon' ELSE 'safe_to_ignore' END AS bucket,
  list_position(['real_regression', 'always_failing', 'ambiguous', 'infra_failure', 'flake_confirmed', 'flake_likely'], kind) AS k, CASE kind WHEN 'flake_likely' THEN 1 WHEN 'real_regression' THEN CASE WHEN near THEN 2 ELSE 1 END WHEN 'ambiguous' THEN 0 ELSE 2 END AS c FROM verdicts)
-""".replace("branches >= 6", "branches >= 3")
+"""
+_STATUS = "CASE WHEN bool_or(p.status IN ('failed', 'error')) THEN 'fail' WHEN bool_or(p.status = 'passed') THEN 'pass' END"
+
+
+def _lookups(before: str) -> str:
+    """What each failing row finds in the history; ``before`` says which rows p of it count."""
+    return f"""elsewhere AS (SELECT j.rowno, count(*) AS passes FROM failing j JOIN joined p ON p.commit_sha = j.commit_sha AND p.test_key = j.test_key AND p.attempt <> j.attempt AND p.status = 'passed' AND {before} GROUP BY ALL),
+parents AS (SELECT j.rowno, {_STATUS} AS parent_outcome FROM failing j JOIN joined p ON p.commit_sha = j.parent_sha AND p.test_key = j.test_key AND {before} GROUP BY ALL),
+spreads AS (SELECT j.rowno, count(DISTINCT p.branch) AS branches FROM failing j JOIN failing p ON p.fingerprint = j.fingerprint AND {before} GROUP BY ALL),
+"""
+
 
+#: Facts from what had started before the failure's run, and from the whole history.
+_FACTS = _HEAD + _lookups("(p.started_at < j.started_at OR p.started_at = j.started_at AND p.run_id < j.run_id)") + _TAIL
+_FACTS_NOW = _HEAD + _lookups("true") + _TAIL
+_FACT_COLUMNS = ("id", "prior_runs", "ever_passed", "considered", "flips", "unexplained", "passed_elsewhere", "parent_outcome", "branches")
 
-def verdict_rows(u, r):
-    """Failing results with their verdicts; the changed files of a run, with three lines each at a place by its id, stand in for its diff."""
-    rows = C.facts(u, r)
-    frames = B.parse_frames(F.col("stack"))
-    own = F.filter(F.transform(frames, lambda f, i: F.struct(i.alias("depth"), f["file"].alias("file"), f["line"].alias("line"))), lambda f: F.exists("changed_files", lambda c: B.same_path(c, f["file"])))
-    at = F.col("run_id") % 30
-    near = lambda line: F.when((line == at) | (line == at + 2), "exact_line").when(line.between(at - 5, at + 8), "same_hunk").otherwise("same_file")
-    link = F.transform(own, lambda f: F.struct(f["depth"].alias("depth"), f["file"].alias("file"), near(f["line"]).alias("proximity"), f["file"].alias("changed_file"), F.lit(0.5).alias("confidence")))
-    return C.classify(rows.withColumn("blame", link).withColumn("normalized_text", T.replace_tokens(F.col("message"))))
 
+def verdict_rows(u, r, as_of="run"):
+    """Verdicts of all failing results; the changed files of a run, with three lines each at a place by its id, stand in for its diff."""
+    return E.verdicts(u, r, hunks=_hunks(u), as_of=as_of)
 
-on_history("classifier_facts", _FACTS + "SELECT id, prior_runs, ever_passed, considered, flips, unexplained, passed_elsewhere, parent_outcome, branches FROM facts", lambda u, r: C.facts(u, r).select("id", "prior_runs", "ever_passed", "considered", "flips", "unexplained", "passed_elsewhere", "parent_outcome", "branches"))
+
+on_history("classifier_facts", _FACTS + f"SELECT {', '.join(_FACT_COLUMNS)} FROM facts", lambda u, r: N.facts(u, r).select(*_FACT_COLUMNS))
+on_history("classifier_facts_now", _FACTS_NOW + f"SELECT {', '.join(_FACT_COLUMNS)} FROM facts", lambda u, r: N.facts(u, r, as_of="now").select(*_FACT_COLUMNS))
 on_history("classify", _FACTS + "SELECT id, kind, confidence FROM judged", lambda u, r: verdict_rows(u, r).select("id", "kind", "confidence"))
+on_history("classify_now", _FACTS_NOW + "SELECT id, kind, confidence FROM judged", lambda u, r: verdict_rows(u, r, "now").select("id", "kind", "confidence"))
 on_history("action_bucket", _FACTS + "SELECT id, bucket FROM judged", lambda u, r: verdict_rows(u, r).select("id", C.bucket(F.col("kind")).alias("bucket")))
 on_history("headline", _FACTS + "SELECT *, CASE WHEN needs_you > 0 THEN 'red' WHEN look_soon > 0 THEN 'orange' ELSE 'green' END AS light FROM (SELECT count(*) FILTER (WHERE kind = 'real_regression') AS regressions, count(*) FILTER (WHERE bucket = 'needs_you') AS needs_you, count(*) FILTER (WHERE bucket = 'look_soon') AS look_soon, count(*) FILTER (WHERE kind LIKE 'flake%') AS flaky, count(*) FILTER (WHERE kind = 'ambiguous') AS ambiguous FROM judged)", lambda u, r: C.headline(verdict_rows(u, r)))
 on_history("bucket_summary", _FACTS + "SELECT bucket, kind, count(*) AS n FROM judged GROUP BY ALL", lambda u, r: C.bucket_summary(verdict_rows(u, r)))
@@ -138,7 +151,16 @@ on_history("exit_code", _FACTS + "SELECT CASE WHEN count(*) FILTER (WHERE kind =
 on_history("group_by_action", _FACTS + "SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY k, c DESC, id) AS place FROM judged", lambda u, r: C.group_by_action(verdict_rows(u, r).select("id", "kind", "confidence")).select("id", "bucket", F.col("place").cast("long").alias("place")))
 on_history("group_top8", _FACTS + "SELECT id, bucket, greatest(count(*) OVER (PARTITION BY bucket) - 8, 0) AS more FROM judged QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY k, c DESC, id) <= 8", lambda u, r: C.top_of_groups(verdict_rows(u, r).select("id", "kind", "confidence")).select("id", "bucket", "more"))
 on_history("escalation_batch", _FACTS + "SELECT id, test_key FROM judged WHERE kind = 'ambiguous' ORDER BY id, test_key LIMIT 15", lambda u, r: C.escalation_batch(verdict_rows(u, r)).select("id", "test_key"))
-on_history("escalation_plan", _FACTS + "SELECT id, test_key, CASE WHEN p > 15 THEN 'deferred' WHEN (SELECT sum(r.duration_ms) FROM results r WHERE r.id IN (SELECT id FROM judged WHERE kind = 'ambiguous' ORDER BY id, test_key LIMIT 15)) > 30000 THEN 'too_large' ELSE 'sent' END AS state FROM (SELECT id, test_key, row_number() OVER (ORDER BY id, test_key) AS p FROM judged WHERE kind = 'ambiguous')", lambda u, r: C.escalation_plan(verdict_rows(u, r), r.select("id", F.col("duration_ms").alias("tokens")), guardrail=30000))
+_BATCH = "(SELECT sum(r.duration_ms) FROM results r WHERE (r.id, r.test_key) IN (SELECT (id, test_key) FROM judged WHERE kind = 'ambiguous' ORDER BY id, test_key LIMIT 15))"
+_PLAN = "SELECT id, test_key, CASE WHEN p > 15 THEN 'deferred' WHEN {batch} > {most} THEN 'too_large' ELSE 'sent' END AS state FROM (SELECT id, test_key, row_number() OVER (ORDER BY id, test_key) AS p FROM judged WHERE kind = 'ambiguous')"
+
+
+def _planned(guardrail):
+    return lambda u, r: C.escalation_plan(verdict_rows(u, r), r.select("id", "test_key", F.col("duration_ms").alias("tokens")), guardrail=guardrail)
+
+
+on_history("escalation_plan", _FACTS + _PLAN.format(batch=_BATCH, most=100_000), _planned(100_000))
+on_history("escalation_too_large", _FACTS + _PLAN.format(batch=_BATCH, most=10_000), _planned(10_000))
 
 
 def _retried(r):
