@@ -20,10 +20,9 @@ from ..errors import ReportParseError
 from ..functions import keys as K
 from ..functions.text import normalize_failure
 from ..schema import HUNKS, PARSED
+from .files import PATTERNS, contents, dealt, discover, placed, rooted
 
-#: Default patterns of report files, folders that are never searched.
-PATTERNS = ("**/junit*.xml", "**/TEST-*.xml")
-SKIPPED = ("node_modules", ".git", ".hg", ".svn", ".venv", "venv", "__pycache__", ".testweave")
+#: Elements whose content is text, whatever it holds.
 _OPAQUE = ("failure", "error", "flakyFailure", "flakyError", "rerunFailure", "rerunError", "system-out", "system-err", "skipped")
 _RETRIES = ("flakyFailure", "flakyError", "rerunFailure", "rerunError")
 _TAG = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|<[?!][^>]*>|<(/?)([A-Za-z_][\w.:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.DOTALL)
@@ -205,41 +204,53 @@ def _entries(path: str, content: bytes) -> Iterator[tuple[str, bytes | None, str
         yield path, None, f"bad archive: {e}"
 
 
+_CASE = pa.struct([(n, pa.string()) for n in ("message", "type", "stack")])
+_RAW = pa.schema([("path", pa.string()), ("ordinal", pa.int32()), ("suite", pa.string()), ("name", pa.string()), ("status", pa.string()), ("time", pa.string()), ("ms", pa.int64()), ("file", pa.string()), ("failure", _CASE), ("skip_reason", pa.string()), ("retries", pa.list_(_CASE)), ("error", pa.string())])
+_RAW_SPARK = "path string, ordinal int, suite string, name string, status string, time string, ms long, file string, failure struct<message:string,type:string,stack:string>, skip_reason string, retries array<struct<message:string,type:string,stack:string>>, error string"
+
+
+def _cases(entries: Iterator[tuple[str, bytes | None, str | None]]) -> Iterator[dict]:
+    """A row per test case of each report, or one with its error."""
+    for name, data, error in entries:
+        try:
+            if error:
+                raise ReportError(error)
+            text = data.decode("utf-8", "replace")
+            cases = parse_browser_json(text) if name.lower().endswith(".json") else parse_xml(text)
+            yield from ({"path": name, "ordinal": i, **c} for i, c in enumerate(cases))
+        except ReportError as e:
+            yield {"path": name, "error": str(e)}
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    out = rows.withColumns({"suite": K.stable_suite(F.col("suite")), "duration_ms": F.coalesce("ms", K.time_to_ms(F.col("time")))})
+    return out.select(*(F.col(f.name).cast(f.dataType) for f in PARSED.fields))
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Rows of results for files (path, content): one per test case, or one with ``error`` for a file that cannot be read."""
 
     def run(batches):
-        kind = pa.struct([(n, pa.string()) for n in ("message", "type", "stack")])
-        schema = pa.schema([("path", pa.string()), ("ordinal", pa.int32()), ("suite", pa.string()), ("name", pa.string()), ("status", pa.string()), ("time", pa.string()), ("ms", pa.int64()), ("file", pa.string()), ("failure", kind), ("skip_reason", pa.string()), ("retries", pa.list_(kind)), ("error", pa.string())])
         for b in batches:
             for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
-                rows = []
-                for name, data, error in _entries(path, content):
-                    try:
-                        if error:
-                            raise ReportError(error)
-                        text = data.decode("utf-8", "replace")
-                        cases = parse_browser_json(text) if name.lower().endswith(".json") else parse_xml(text)
-                        rows += [{"path": name, "ordinal": i, **c} for i, c in enumerate(cases)]
-                    except ReportError as e:
-                        rows.append({"path": name, "error": str(e)})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    raw = "path string, ordinal int, suite string, name string, status string, time string, ms long, file string, failure struct<message:string,type:string,stack:string>, skip_reason string, retries array<struct<message:string,type:string,stack:string>>, error string"
-    rows = files.select("path", "content").mapInArrow(run, raw)
-    out = rows.withColumns({"suite": K.stable_suite(F.col("suite")), "duration_ms": F.coalesce("ms", K.time_to_ms(F.col("time")))})
-    return out.select(*(F.col(f.name).cast(f.dataType) for f in PARSED.fields))
+                yield pa.RecordBatch.from_pylist(list(_cases(_entries(path, content))), schema=_RAW)
+
+    return _parsed(files.select("path", "content").mapInArrow(run, _RAW_SPARK))
 
 
 def read_reports(spark: SparkSession, root: str, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
-    """Results of all report files under ``root`` whose path below it matches a pattern (zip archives and JSON included by name)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    at = F.instr("path", base)
-    below = F.when(at > 0, F.substr("path", at + len(base))).otherwise(F.col("path"))
-    skip = "(?:^|/)(?:" + "|".join(re.escape(s) for s in SKIPPED) + ")/"
-    wanted = below.rlike("|".join(K.glob_to_regex(p) for p in patterns)) & ~below.rlike(skip)
-    return parse_files(files.where(wanted).select(below.alias("path"), "content"))
+    """Results of all report files under ``root`` whose path below it matches a pattern (zip archives and JSON included by name).
+
+    Files are found and read in tasks, one report (or archive's member) at a time; see :mod:`testweave.sources.files`.
+    """
+    root = rooted(root)
+
+    def run(batches):
+        for b in batches:
+            for entry in contents(root, b):
+                yield pa.RecordBatch.from_pylist(list(_cases(iter([entry]))), schema=_RAW)
+
+    return _parsed(dealt(placed(discover(spark, root, patterns), root)).mapInArrow(run, _RAW_SPARK))
 
 
 def analyzed(parsed: DataFrame, repo_root: str | None = None) -> DataFrame:
