@@ -1,4 +1,4 @@
-"""Command line: record reports and judge them, rank flaky tests, explain one test, list its history."""
+"""Command line: record reports and judge them, rank flaky tests, explain one test, list its history, take in past runs, compact the store."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ from .operators import classify as C
 from .operators import history as H
 from .operators import report as P
 from .operators.explain import explain, explain_text, verdicts
+from .operators.state import KEEP
 from .schema import RUNS
 from .sources.reports import PATTERNS, analyzed, read_reports
-from .sources.store import HistoryStore
+from .sources.store import HistoryStore, backfill_archives
 
 
 def record_and_judge(spark, store: HistoryStore, root: str, run: dict, patterns=PATTERNS, window: int = 30):
@@ -27,7 +28,12 @@ def record_and_judge(spark, store: HistoryStore, root: str, run: dict, patterns=
     ordered = rows.withColumn("id", F.xxhash64("path", "ordinal")).select("id", F.lit(0).cast("long").alias("run_id"), "suite", F.col("name").alias("test_name"), "test_key", "status", "duration_ms", F.col("failure.message").alias("message"), F.col("failure.stack").alias("stack"), "fingerprint")
     one = spark.createDataFrame([{"id": 0, "parent_sha": None, "branch": None, "ci_run_id": None, "attempt": 1, "changed_files": [], "repo": "", **run}], RUNS)
     given = store.record(one, ordered)
-    return verdicts(store.runs(), store.results(), window, given.select(F.col("id").alias("run_id")))
+    ids = given.select(F.col("id").alias("run_id"))
+    if window > KEEP + 1:
+        return verdicts(store.runs(), store.results(), window, ids)
+    # states of tests stand for the history: only this batch's results are read
+    mine = [store.last]
+    return verdicts(store.runs(mine), store.results(mine), window, ids, rows=store.run_facts(ids, store.last, window))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -49,6 +55,14 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("stats")
     s.add_argument("--window", type=int, default=200)
     s.add_argument("--min-runs", type=int, default=3)
+    b = sub.add_parser("backfill")
+    b.add_argument("runs", help="table of past runs")
+    b.add_argument("artifacts", help="table of their archives: run_id, name, expired, content")
+    b.add_argument("--artifact-name", default="*")
+    b.add_argument("--days", type=float)
+    b.add_argument("--since", type=int)
+    c = sub.add_parser("compact")
+    c.add_argument("--vacuum", action="store_true")
     for name in ("explain", "history"):
         e = sub.add_parser(name)
         e.add_argument("query")
@@ -63,6 +77,13 @@ def main(argv: list[str] | None = None) -> int:
             v = record_and_judge(spark, store, a.root, run, window=a.window)
             print("\n".join(x["json"] for x in P.json_lines(v).toLocalIterator()) if a.format == "json" else P.render(v, a.format))
             return C.exit_code(v, a.fail_on).first()["exit_code"]
+        if a.command == "backfill":
+            cutoff = None if a.days is None else int((time.time() - a.days * 86_400) * 1000)
+            print(json.dumps(backfill_archives(store, spark.read.parquet(a.runs), spark.read.parquet(a.artifacts), a.artifact_name, cutoff, a.since)))
+            return 0
+        if a.command == "compact":
+            print(json.dumps({"batch": store.compact(), "deleted": store.vacuum() if a.vacuum else 0}))
+            return 0
         if a.command == "stats":
             top = H.top_flaky(H.flaky_stats(H.rows_for_flakiness(store.runs(), store.results(), a.window), a.min_runs)).collect()
             print(json.dumps([t.asDict() for t in top], indent=1))

@@ -19,3 +19,15 @@ class TestNotFoundError(HistoryError):
 
 class ConfigError(HistoryError):
     code = "config"
+
+
+class EmptyReportError(ReportParseError):
+    code = "report_empty"
+
+
+class BrowserReportError(ReportParseError):
+    code = "browser_report_parse"
+
+
+class StoreVersionError(HistoryError):
+    code = "history_io"

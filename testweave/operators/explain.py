@@ -37,13 +37,18 @@ def blamed(runs: DataFrame, results: DataFrame, hunks: DataFrame | None = None,
     return B.top_blame(B.correlate(frames, hunks, imports)).select("failure.*", "blame")
 
 
-def verdicts(runs: DataFrame, results: DataFrame, window: int = 30, run_ids: DataFrame | None = None, hunks: DataFrame | None = None, imports: DataFrame | None = None, as_of: str = "run") -> DataFrame:
+def verdicts(runs: DataFrame, results: DataFrame, window: int = 30, run_ids: DataFrame | None = None, hunks: DataFrame | None = None, imports: DataFrame | None = None, as_of: str = "run", rows: DataFrame | None = None) -> DataFrame:
     """Verdict of every failing result (of ``run_ids``, if given), from the history as it was before its run, or as it is ``now``.
 
-    Failure texts are looked at where they are read; what is shuffled is their label and their links.
+    Failure texts are looked at where they are read; what is shuffled is their label and their links. ``rows`` are the
+    facts, where they are known already (from a store's states); then ``results`` need only hold the failures.
     """
     text = T.replace_tokens(F.concat_ws("\n", "message", "stack"))
-    rows = facts(runs, results, window, run_ids, as_of, {"infra": F.when(failing(F.col("status")), C.infra_label(text)), "places": F.when(failing(F.col("status")), stack_places(F.col("stack")))})
+    told = {"infra": F.when(failing(F.col("status")), C.infra_label(text)), "places": F.when(failing(F.col("status")), stack_places(F.col("stack")))}
+    if rows is None:
+        rows = facts(runs, results, window, run_ids, as_of, told)
+    else:
+        rows = rows.join(results.where(failing(F.col("status"))).withColumns(told).select("id", "run_id", "test_key", *told), ["id", "run_id", "test_key"])
     links = blamed(runs, results, hunks, imports, run_ids)
     empty = F.array().cast("array<struct<o:double,depth:int,file:string,line:int,changed_file:string,proximity:string,confidence:double>>")
     met = rows.join(links, ["id", "run_id", "test_key"], "left").withColumn("blame", F.coalesce("blame", empty))
@@ -56,7 +61,7 @@ def explain(runs: DataFrame, results: DataFrame, query: str, last: int = 20) ->
     if not found:
         raise TestNotFoundError(query)
     key = found[0]["test_key"]
-    mine = results.where(F.col("test_key") == key)
+    mine = H.of_test(results, key)
     failure = H.latest_failure(runs, mine).first()
     rows = H.timeline(runs, mine).orderBy(F.desc("started_at"), F.desc("run_id")).limit(last).collect()
     spread = H.fingerprint_spread(runs, results.where(F.col("fingerprint") == failure["fingerprint"])).first() if failure and failure["fingerprint"] else None

@@ -125,6 +125,12 @@ def find_tests(results: DataFrame, query: str) -> DataFrame:
     return found.orderBy(F.desc("n_runs"), "suite", "test_name", "test_key")
 
 
+def of_test(results: DataFrame, key: str) -> DataFrame:
+    """One test's results; where the table lies in parts by the key's first digit, only its part is read."""
+    mine = results.where(F.col("test_key") == key)
+    return mine.where(F.col("part") == key[:1]) if "part" in results.columns else mine
+
+
 def passed_in_another_attempt(runs: DataFrame, results: DataFrame) -> DataFrame:
     """(commit_sha, test_key, attempt) that have a pass in a different attempt of the commit."""
     rows = joined(runs, results).select("commit_sha", "test_key", "attempt", "status")
@@ -194,5 +200,3 @@ def spread_branches(runs: DataFrame, results: DataFrame) -> DataFrame:
     spread = fingerprint_spread(runs, results).select("fingerprint", "branches")
     bad = results.where(failing(F.col("status"))).select("id", "fingerprint")
     return bad.join(spread, "fingerprint", "left").select("id", F.greatest(F.coalesce("branches", F.lit(0)), F.lit(1)).alias("branches"))
-
-

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ReportParseError
+from ..errors import BrowserReportError, EmptyReportError, ReportParseError
 from ..functions import keys as K
 from ..functions.text import normalize_failure
 from ..schema import HUNKS, PARSED
@@ -112,7 +112,7 @@ def parse_xml(text: str) -> list[dict]:
     """Test cases of an XML report: a suite's own cases, then its nested suites, each with the nearest suite's name."""
     text = text.removeprefix("﻿")
     if not text.strip():
-        raise ReportError("empty report")
+        raise EmptyReportError("empty report")
     root = {"name": None, "cases": [], "suites": []}
     stack, case, seen, depth = [root], None, False, 0
     for kind, tag, attributes, body in _events(text):
@@ -164,9 +164,9 @@ def parse_browser_json(text: str) -> list[dict]:
     try:
         doc = json.loads(text)
     except ValueError as e:
-        raise ReportError("malformed JSON") from e
+        raise BrowserReportError("malformed JSON") from e
     if not isinstance(doc, dict) or not isinstance(doc.get("config"), dict) or not isinstance(doc.get("suites"), list):
-        raise ReportError("not a browser-runner report")
+        raise BrowserReportError("not a browser-runner report")
     out = []
 
     def walk(suite, path):
@@ -218,7 +218,7 @@ def _cases(entries: Iterator[tuple[str, bytes | None, str | None]]) -> Iterator[
             text = data.decode("utf-8", "replace")
             cases = parse_browser_json(text) if name.lower().endswith(".json") else parse_xml(text)
             yield from ({"path": name, "ordinal": i, **c} for i, c in enumerate(cases))
-        except ReportError as e:
+        except ReportParseError as e:
             yield {"path": name, "error": str(e)}
 
 
