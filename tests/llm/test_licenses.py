@@ -56,16 +56,45 @@ def test_values(rows):
 
 
 def test_files_of_several_notices(spark):
-    notices = {label: notice for label, notice, _ in TEMPLATES}
+    notices = {label: notice for label, notice, _ in reversed(TEMPLATES)}
     groups = [(label,) for label in notices] + list(itertools.combinations(notices, 2)) + list(itertools.combinations(notices, 3)) + [tuple(notices)]
     texts = ["\n".join(notices[label] for label in g) for g in groups]
     # a notice at the end of a long text that holds a dozen rarer template words before it
     texts.append("obtaining charge redistribution modification conditions provided permitted forms attribution creative unencumbered mozilla domain released " + "of the and to " * 500 + notices["lgpl"])
-    texts.append("a Creative Commons Attribution 4.0 notice")
-    groups += [("lgpl",), ("cc-by",)]
+    texts.append("x " + " ".join(notices["bsd"].split()[:16]))
+    groups += [("lgpl",), ("bsd",)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in scan_licenses(docs).collect()}
     assert sorted((tuple(r) for r in got.values()), key=str) == sorted(by_sql(docs).fetchall(), key=str)
     for i, g in enumerate(groups):
         assert set(g) <= set(got[i].labels.split(",")), (g, got[i].labels)
         assert 0 < got[i].score <= 1
+
+
+def test_a_lone_key_phrase_is_no_notice(spark):
+    """The index refuses what a phrase match would take: key phrases alone, cut notices, notices with their words out of place."""
+    texts, want = [], []
+    for label, notice, keys in TEMPLATES:
+        words = notice.split()
+        lone = " and also ".join(keys)
+        texts += [lone, notice, " ".join(words[: len(words) // 3]) + " so " + lone, "intro " + " ".join(words[: -(-len(words) * 7 // 10)]) + " so " + lone]
+        short = sum(len(k.split()) for k in keys) * 100 >= 60 * len(words)
+        want += [(label, label in _base(lone) or short), (label, True), None, (label, True)]
+    texts.append("Creative Commons Attribution 4.0 International")
+    want.append(("cc-by", False))
+    shuffled = " ".join(f"{w} and" for w in TEMPLATES[2][1].split()) + " creative commons attribution"
+    texts.append(shuffled)
+    want.append(("cc-by", False))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert sorted((tuple(r) for r in got.values()), key=str) == sorted(by_sql(docs).fetchall(), key=str)
+    for i, w in enumerate(want):
+        if w is not None:
+            assert (w[0] in got[i].labels.split(",")) == w[1], (texts[i], got[i])
+    assert got[len(texts) - 2].score == 0 and sum(not v for _, v in filter(None, want)) > 4
+
+
+def _base(text):
+    from testweave.llm.licenses import BASE
+
+    return {label for phrase, label in BASE.items() if f" {phrase} " in f" {text} "}

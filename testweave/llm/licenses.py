@@ -1,22 +1,22 @@
 """Licence scan by a positional index of rare licence words, with DataFrame functions only.
 
-Templates (short notices of known licences) are indexed by word: postings say in which template and at which place a
-word stands. For the corpus, the document frequency of every template word is counted over all rows. Each file then
-looks up its ``LOOKUPS`` words of highest inverse document frequency, intersects their postings by relative position
-(place in the file less place in the template: words of one notice agree on it), and a template with at least two
-agreeing places becomes a label if the file also holds all its mandatory key phrases, consecutively. A file of several
-notices can spend its look-ups on some of them: a template whose key phrases stand in the file, but which the looked-up
-words left unsettled, is looked up again by all of its words, so no verified notice is lost to the number of look-ups.
+Templates (short notices of known licences) are indexed by word: postings say in which notice and at which place a word
+stands. For the corpus, the document frequency of every template word is counted over all rows; a notice is looked up
+by its ``RARE`` words of highest inverse document frequency. Their postings are intersected by relative position (place
+in the file less place in the notice: words of one notice agree on it), and a notice of which at least ``OPENS`` looked-up places
+agree is a candidate. It becomes a label if, at one relative position, ``SHARE`` per cent of the notice's words stand
+where they should (so a longer notice needs more of them) and the file holds all its mandatory key phrases. A loose key
+phrase, or a notice cut to its first words, is no label. Every notice has look-ups of its own, so files of several
+notices lose none.
 
 The corpus is read twice, once for the frequencies (one row per template word comes out, a bound by the templates),
 once for the scan itself, which handles each row alone with array functions: no text is shuffled, and a hot source or
-copy group costs nothing extra.
+copy group costs nothing extra. Rows without any notice's key phrase are not split into words, as nothing there could
+be verified.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +33,12 @@ TEMPLATES = (
     ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute",)),
     ("lgpl", "licensed under the gnu lesser general public license version 3", ("lesser general public license",)),
-    ("mit", "released under the mit license permission is hereby granted free of charge to any person obtaining a copy of this software", ("mit license",)),
+    ("mit", "released under the mit license", ("mit license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software", "public domain")),
 )
-LOOKUPS = 12
-AGREE = 2
+RARE, OPENS, SHARE = 8, 3, 60
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEMPLATE_WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
@@ -69,24 +69,31 @@ def word_frequencies(norms: DataFrame) -> dict[str, int]:
     return {r["w"]: r["n"] for r in norms.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _offsets(hits: str, posting: Column) -> Column:
-    """Place in the file less place in the template, for every looked-up word and posting."""
+def _agreeing(hits: str, notice: str, among: list[str]) -> Column:
+    """The most places of the notice's words ``among`` that agree on one relative position in the file."""
+    places = {w: [i for i, x in enumerate(notice.split()) if x == w] for w in among}
+    posting = F.map_from_arrays(F.array(*map(F.lit, places)), F.array(*(F.array(*map(F.lit, p)) for p in places.values())))
     known = F.filter(hits, lambda h: F.map_contains_key(posting, h["w"]))
-    return F.flatten(F.transform(known, lambda h: F.transform(posting[h["w"]], lambda t: h["at"] - t)))
+    offsets = F.array_sort(F.flatten(F.transform(known, lambda h: F.transform(posting[h["w"]], lambda t: h["at"] - t))))
+    zero = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc, x):
+        run = F.when(acc["last"].eqNullSafe(x), acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(offsets, zero, step, lambda acc: acc["best"])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
-    ``score`` is the share of a verified template's looked-up places that agree on one relative position (the best
-    template's; by the rarest words where they settle it, by all its words otherwise), and 0.5 at least where a base
-    phrase stands. A null text counts as empty: no words, no labels, score 0.
+    ``score`` is the share of a verified notice's words that stand where they should (the best notice's), and 0.5 at
+    least where a base phrase stands. A null text counts as empty: no words, no labels, score 0.
     Repeated rows give equal values; a null id stays null; other columns are ignored; an empty table gives none.
     """
     norms = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal(F.col(text_col).cast("string")).alias("norm"))
     frequency = word_frequencies(norms)
-    ranked = sorted(_TEMPLATE_WORDS, key=lambda w: (frequency.get(w, 0), w))
-    by_rank = F.array(*map(F.lit, ranked))
+    rank = lambda w: (frequency.get(w, 0), w)
 
     n = F.col("norm")
     base = _whole(BASE)
@@ -102,41 +109,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(has, base_labels).otherwise(F.array().cast("array<string>")).alias("base"),
         n.rlike(_whole(_OPENING)).alias("open"),
     )
-    # a file's words by place, and its rarest template words
-    words = F.split("norm", " ")
-    rows = rows.withColumn("rare", F.when(F.col("open"), F.slice(F.array_intersect(by_rank, words), 1, LOOKUPS)))  # in the order of the ranks
-    hits = lambda among: F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains(among, h["w"]))
-    rows = rows.withColumn("hits", F.when(F.col("open"), hits(F.col("rare"))))
-
-    def agreeing(hits: str, notice: str) -> Column:
-        places = notice.split()
-        posting = F.map_from_arrays(F.array(*map(F.lit, dict.fromkeys(places))), F.array(*(F.array(*(F.lit(i) for i, w in enumerate(places) if w == word)) for word in dict.fromkeys(places))))
-        offsets = F.array_sort(_offsets(hits, posting))
-        zero = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-        def step(acc, x):
-            run = F.when(acc["last"].eqNullSafe(x), acc["run"] + 1).otherwise(1)
-            return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-        return F.aggregate(offsets, zero, step, lambda acc: acc["best"])
-
-    for label, notice, keys in TEMPLATES:
-        keyed = n.rlike(_whole([keys[0]]))
-        for k in keys[1:]:
-            keyed = keyed & n.rlike(_whole([k]))
-        rows = rows.withColumn(f"keyed_{label}", F.when(F.col("open"), keyed).otherwise(False))
-        rows = rows.withColumn(f"agreed_{label}", F.when(F.col(f"keyed_{label}"), agreeing("hits", notice)).otherwise(0))
-    # templates whose key phrases stand there without agreement: all template words of the file, however many
-    unsettled = {label: F.col(f"keyed_{label}") & (F.col(f"agreed_{label}") < AGREE) for label, _, _ in TEMPLATES}
-    rows = rows.withColumn("every", F.when(reduce(Column.__or__, unsettled.values()), hits(by_rank)))
-
+    # template words of a file by place
+    placed = F.transform(F.split("norm", " "), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    rows = rows.withColumn("hits", F.when(F.col("open"), F.filter(placed, lambda h: F.array_contains(F.array(*map(F.lit, _TEMPLATE_WORDS)), h["w"]))))
     found, shares = [], []
-    for label, notice, _ in TEMPLATES:
-        looked = lambda among: F.size(F.filter(F.array(*map(F.lit, notice.split())), lambda w: F.array_contains(among, w)))  # noqa: B023, E731
-        rows = rows.withColumn(f"again_{label}", F.when(unsettled[label], agreeing("every", notice)).otherwise(0))
-        first, again = F.col(f"agreed_{label}"), F.col(f"again_{label}")
-        found.append(F.when((first >= AGREE) | (again >= AGREE), F.lit(label)))
-        shares.append(F.when(first >= AGREE, first / looked(F.col("rare"))).when(again >= AGREE, again / looked(words)).otherwise(0.0))
+    for k, (label, notice, keys) in enumerate(TEMPLATES):
+        own = sorted(set(notice.split()), key=rank)
+        keyed = F.col("open")
+        for phrase in keys:
+            keyed = keyed & n.rlike(_whole([phrase]))
+        rows = rows.withColumn(f"keyed_{k}", keyed)
+        rows = rows.withColumn(f"opens_{k}", F.when(F.col(f"keyed_{k}"), _agreeing("hits", notice, own[:RARE]) >= OPENS).otherwise(False))
+        rows = rows.withColumn(f"whole_{k}", F.when(F.col(f"opens_{k}"), _agreeing("hits", notice, own)).otherwise(0))
+        size = len(notice.split())
+        verified = F.col(f"whole_{k}") * 100 >= SHARE * size
+        found.append(F.when(verified, F.lit(label)))
+        shares.append(F.when(verified, F.col(f"whole_{k}") / size).otherwise(0.0))
     labels = F.array_join(F.array_sort(F.array_union("base", F.array_compact(F.array(*found)))), ",")
     floor = F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), labels.alias("labels"), F.round(F.least(F.lit(1.0), F.greatest(floor, *shares)), 6).alias("score"))
@@ -146,8 +134,9 @@ def oracle() -> str:
     """The same result in DuckDB's SQL."""
     quote = lambda s: "'" + s + "'"
     whole = lambda ps: "(^| )(" + "|".join(ps) + ")( |$)"
-    postings = ", ".join(f"({quote(label)}, {quote(w)}, {i})" for label, notice, _ in TEMPLATES for i, w in enumerate(notice.split()))
-    keys = ", ".join(f"({quote(label)}, {quote(k)})" for label, _, ks in TEMPLATES for k in ks)
+    postings = ", ".join(f"({k}, {quote(w)}, {i})" for k, (_, notice, _) in enumerate(TEMPLATES) for i, w in enumerate(notice.split()))
+    notices = ", ".join(f"({k}, {quote(label)}, {len(notice.split())}, {len(ks)})" for k, (label, notice, ks) in enumerate(TEMPLATES))
+    keys = ", ".join(f"({k}, {quote(p)})" for k, (_, _, ks) in enumerate(TEMPLATES) for p in ks)
     vocabulary = ", ".join(f"({quote(w)})" for w in _TEMPLATE_WORDS)
     bases = ", ".join(f"({quote(p)}, {quote(label)})" for p, label in BASE.items())
     return rf"""
@@ -155,22 +144,17 @@ WITH norms AS (SELECT doc_id, row_number() OVER () AS r, trim(regexp_replace(tra
 arrays AS (SELECT doc_id, r, norm, CASE WHEN norm = '' THEN []::VARCHAR[] ELSE string_split(norm, ' ') END AS ws FROM norms),
 words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM arrays),
 vocabulary(w) AS (VALUES {vocabulary}),
-postings(label, w, place) AS (VALUES {postings}),
-keys(label, phrase) AS (VALUES {keys}),
+postings(notice, w, place) AS (VALUES {postings}),
+notices(notice, label, size, needed) AS (VALUES {notices}),
+keys(notice, phrase) AS (VALUES {keys}),
 bases(phrase, label) AS (VALUES {bases}),
 hits AS (SELECT r, w, pos FROM words SEMI JOIN vocabulary USING (w)),
 frequency AS (SELECT v.w, count(DISTINCT r) AS n FROM vocabulary v LEFT JOIN hits USING (w) GROUP BY v.w),
-open AS (SELECT r FROM norms WHERE regexp_matches(norm, '{whole(_OPENING)}')),
-rare AS (SELECT r, w FROM (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY n, w) AS k FROM (SELECT DISTINCT r, w FROM hits SEMI JOIN open USING (r)) JOIN frequency USING (w)) WHERE k <= {LOOKUPS}),
-runs AS (SELECT r, label, max(n) AS best FROM (SELECT r, label, pos - place AS shift, count(*) AS n FROM hits JOIN rare USING (r, w) JOIN postings USING (w) GROUP BY ALL) GROUP BY ALL),
-looked AS (SELECT r, label, count(*) AS n FROM rare JOIN postings USING (w) GROUP BY ALL),
-needed AS (SELECT label, count(*) AS n FROM keys GROUP BY label),
-keyed AS (SELECT r, label FROM (SELECT r, label, count(*) AS n FROM norms, keys WHERE contains(' ' || norm || ' ', ' ' || phrase || ' ') GROUP BY r, label) SEMI JOIN needed USING (label, n)),
-settled AS (SELECT r, label, best / looked.n AS share FROM runs JOIN looked USING (r, label) SEMI JOIN keyed USING (r, label) WHERE best >= {AGREE}),
-unsettled AS (SELECT r, label FROM keyed ANTI JOIN settled USING (r, label)),
-again AS (SELECT r, label, max(n) AS best FROM (SELECT r, label, pos - place AS shift, count(*) AS n FROM hits JOIN postings USING (w) SEMI JOIN unsettled USING (r, label) GROUP BY ALL) GROUP BY ALL),
-known AS (SELECT r, label, count(*) AS n FROM (SELECT DISTINCT r, w FROM hits) JOIN postings USING (w) SEMI JOIN unsettled USING (r, label) GROUP BY ALL),
-verified AS (SELECT r, label, share FROM settled UNION ALL SELECT r, label, best / n FROM again JOIN known USING (r, label) WHERE best >= {AGREE}),
+rare AS (SELECT notice, w FROM (SELECT DISTINCT notice, w FROM postings) JOIN frequency USING (w) QUALIFY row_number() OVER (PARTITION BY notice ORDER BY n, w) <= {RARE}),
+keyed AS (SELECT r, notice FROM (SELECT r, notice, count(*) AS n FROM norms, keys WHERE contains(' ' || norm || ' ', ' ' || phrase || ' ') GROUP BY ALL) JOIN notices USING (notice) WHERE n = needed),
+candidates AS (SELECT DISTINCT r, notice FROM (SELECT r, notice, pos - place AS shift, count(*) AS n FROM hits JOIN postings USING (w) SEMI JOIN rare USING (notice, w) GROUP BY ALL) WHERE n >= {OPENS}),
+agreed AS (SELECT r, notice, max(n) AS best FROM (SELECT r, notice, pos - place AS shift, count(*) AS n FROM hits JOIN postings USING (w) SEMI JOIN candidates USING (r, notice) SEMI JOIN keyed USING (r, notice) GROUP BY ALL) GROUP BY ALL),
+verified AS (SELECT r, label, best / size AS share FROM agreed JOIN notices USING (notice) WHERE best * 100 >= {SHARE} * size),
 runs_of AS (SELECT r, pos, w || ' ' || lead(w) OVER p AS two, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS three FROM words SEMI JOIN (SELECT r FROM norms, bases WHERE contains(' ' || norm || ' ', ' ' || phrase || ' ')) USING (r) WINDOW p AS (PARTITION BY r ORDER BY pos)),
 places AS (SELECT r, label, pos FROM (SELECT r, pos, unnest([two, three]) AS phrase FROM runs_of) JOIN bases USING (phrase)),
 base AS (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
