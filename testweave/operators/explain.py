@@ -44,7 +44,7 @@ def verdicts(runs: DataFrame, results: DataFrame, window: int = 30, run_ids: Dat
     facts, where they are known already (from a store's states); then ``results`` need only hold the failures.
     """
     text = T.replace_tokens(F.concat_ws("\n", "message", "stack"))
-    told = {"infra": F.when(failing(F.col("status")), C.infra_label(text)), "places": F.when(failing(F.col("status")), stack_places(F.col("stack")))}
+    told = {"infra": F.when(failing(F.col("status")), T.bound(text, C.infra_label)), "places": F.when(failing(F.col("status")), stack_places(F.col("stack")))}
     if rows is None:
         rows = facts(runs, results, window, run_ids, as_of, told)
     else:

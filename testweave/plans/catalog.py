@@ -283,6 +283,48 @@ _ITEM = r"concat('test: ', test_key, chr(10), 'status: ', status, chr(10), 'fing
 on_history("build_payload", f"SELECT id, sha256({_ITEM}) AS h, ceil(length({_ITEM}) / 4)::BIGINT AS tokens FROM results WHERE status IN ('failed', 'error')", _payload)
 
 
+_CHANGED = "concat('diff --git a/', f, ' b/', f, chr(10), '@@ -1 +1,2 @@', chr(10), '+a', chr(10), '+b', chr(10))"
+_RUN_PAYLOAD = rf"""items AS (SELECT run_id, id, {_ITEM} AS item FROM results WHERE status IN ('failed', 'error')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id, item) AS p, count(*) OVER (PARTITION BY run_id) AS n FROM items),
+taken AS (SELECT run_id, max(n) AS n, count(*) FILTER (WHERE p <= 2) AS taken, string_agg(item, chr(10) || chr(10) ORDER BY p) FILTER (WHERE p <= 2) AS texts FROM placed GROUP BY ALL),
+paths AS (SELECT run_id, list(DISTINCT regexp_extract(stack, 'src/part[0-9]+\.py')) AS paths FROM results WHERE status IN ('failed', 'error') GROUP BY ALL),
+diffs AS (SELECT u.id AS run_id, string_split(concat(array_to_string(list_transform(list_filter(changed_files, lambda f: list_contains(paths, f)), lambda f: {_CHANGED}), ''), array_to_string(list_transform(changed_files, lambda f: {_CHANGED}), '')), chr(10)) AS ls FROM runs u JOIN paths ON run_id = u.id),
+texts AS (SELECT t.run_id, n, taken, concat('# run', chr(10), 'commit: ', commit_sha, chr(10), 'parent: ', parent_sha, chr(10), 'branch: ', branch, chr(10), 'attempt: ', attempt, chr(10), 'changed files: 7', chr(10), '  - ', changed_files[1], chr(10), '  - ', changed_files[2], chr(10), '  - ', changed_files[3], chr(10), '  … 4 more files', chr(10), chr(10),
+ '# open failures: ', taken, chr(10), chr(10), texts, chr(10), chr(10), '# diff', chr(10), array_to_string(ls[1:12], chr(10)), chr(10), '… ', len(ls) - 12, ' more lines', CASE WHEN n > taken THEN concat(chr(10), chr(10), '(', n - taken, ' failures are not in this batch)') ELSE '' END) AS payload FROM taken t JOIN runs u ON u.id = t.run_id JOIN diffs d ON d.run_id = t.run_id)
+"""
+
+
+def _run_payload(u, r):
+    """The payload of every run with failures: two failures, three files, twelve lines of a diff made from the changed files."""
+    bad = r.where(K.failing(F.col("status")))
+    part = lambda f: F.concat(F.lit("diff --git a/"), f, F.lit(" b/"), f, F.lit("\n@@ -1 +1,2 @@\n+a\n+b\n"))
+    paths = bad.groupBy("run_id").agg(F.array_distinct(F.flatten(F.collect_list(T.referenced_files(F.col("stack"))))).alias("paths"))
+    diffs = u.select(F.col("id").alias("run_id"), F.array_join(F.transform("changed_files", part), "").alias("diff")).join(paths, "run_id")
+    out = P.payloads(u, P.payload_items(bad), diffs, most=2, files=3, diff_lines=12)
+    return out.select("run_id", F.sha2("payload", 256).alias("h"), "tokens", "taken", "omitted")
+
+
+on_history("run_payload", f", {_RUN_PAYLOAD} SELECT run_id, sha256(payload) AS h, ceil(length(payload) / 4)::BIGINT AS tokens, taken, n - taken AS omitted FROM texts", _run_payload)
+
+
+def _run_report(u, r):
+    told = lambda path: F.get_json_object("report", f"$.{path}")
+    long = lambda path: told(path).cast("long")
+    return P.run_reports(u, r, verdict_rows(u, r), most=2).select("run_id", told("run.branch").alias("branch"), long("totals.passed").alias("passed"), long("totals.failures").alias("failures"), long("totals.regressions").alias("regressions"), long("buckets.look_soon.n").alias("look_soon"), long("buckets.safe_to_ignore.more").alias("more_safe"), told("buckets.safe_to_ignore.first[0].test").alias("first_safe"), told("buckets.look_soon.first[1].kind").alias("second_look"))
+
+
+on_history(
+    "run_report",
+    _FACTS
+    + """, totals AS (SELECT run_id, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status IN ('failed', 'error')) AS failures FROM results GROUP BY ALL),
+ counts AS (SELECT run_id, count(*) FILTER (WHERE kind = 'real_regression') AS regressions, count(*) FILTER (WHERE bucket = 'look_soon') AS look_soon, count(*) FILTER (WHERE bucket = 'safe_to_ignore') AS safe FROM judged GROUP BY ALL),
+ placed AS (SELECT run_id, test_key, kind, bucket, row_number() OVER (PARTITION BY run_id, bucket ORDER BY k, c DESC, id, test_key) AS p FROM judged)
+ SELECT u.id AS run_id, u.branch, t.passed, t.failures, coalesce(regressions, 0) AS regressions, coalesce(look_soon, 0) AS look_soon, greatest(coalesce(safe, 0) - 2, 0) AS more_safe, f.test_key AS first_safe, s.kind AS second_look
+ FROM runs u JOIN totals t ON t.run_id = u.id LEFT JOIN counts c ON c.run_id = u.id LEFT JOIN placed f ON f.run_id = u.id AND f.bucket = 'safe_to_ignore' AND f.p = 1 LEFT JOIN placed s ON s.run_id = u.id AND s.bucket = 'look_soon' AND s.p = 2""",
+    _run_report,
+)
+
+
 def _answered(u, r):
     n = F.col("id") % 4
     kind = F.when(n == 0, "flake_likely").when(n == 1, "real_regression").when(n == 2, "infra_failure").otherwise("broken")
