@@ -1,11 +1,15 @@
-"""From raw documents to packed training sequences, in five stages; each works on all that the one before kept."""
+"""From raw documents to packed training sequences, in five stages; each works on all that the one before kept.
+
+All stages but the last keep the columns of ``documents``, whatever they are called, and rows with nulls in any of them. A null text
+is scored, compared and packed as an empty one; an empty table gives an empty one at every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testweave.llm.common import materialize, table
+from testweave.llm.common import discard, materialize, table
 from testweave.llm.jaccard import drop_near_documents
 from testweave.llm.packing import pack_documents
 from testweave.llm.quality import fit, keep_quality
@@ -23,27 +27,30 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are scored like others; rows that repeat stay or go alike."""
     return keep_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id (null ids last).
+
+    Equal rows are near copies too, so one of them stays; texts without words are like nothing else and all stay.
+    """
     return drop_near_documents(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that stand elsewhere too are cut out."""
+    """Passages of 400 bytes and more that stand elsewhere too are cut out; a row keeps its place even if nothing of its text is left. Null texts stay null or become empty."""
     return _measured(remove_repeats(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked."""
+    """Secrets are masked; null, empty and clean texts stay as they are, rows that repeat are masked alike."""
     return _measured(mask_secrets(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents, placed in sequences."""
+    """Pieces of tokenised documents, placed in sequences; a null or empty text is its end id, rows that repeat are packed each."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -60,10 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again, and goes when the next is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
