@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TestNotFoundError
-from ..functions import text as T
 from ..functions.keys import failing
 from . import blame as B
 from . import classify as C
@@ -43,8 +42,8 @@ def verdicts(runs: DataFrame, results: DataFrame, window: int = 30, run_ids: Dat
     Failure texts are looked at where they are read; what is shuffled is their label and their links. ``rows`` are the
     facts, where they are known already (from a store's states); then ``results`` need only hold the failures.
     """
-    text = T.replace_tokens(F.concat_ws("\n", "message", "stack"))
-    told = {"infra": F.when(failing(F.col("status")), T.bound(text, C.infra_label)), "places": F.when(failing(F.col("status")), stack_places(F.col("stack")))}
+    text = F.concat_ws("\n", "message", "stack")
+    told = {"infra": F.when(failing(F.col("status")), C.infra_of(text)), "places": F.when(failing(F.col("status")), stack_places(F.col("stack")))}
     if rows is None:
         rows = facts(runs, results, window, run_ids, as_of, told)
     else:
