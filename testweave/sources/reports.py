@@ -30,8 +30,8 @@ _ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _ANSI = re.compile("\x1b\\[[0-9;]*[A-Za-z]")
 
 
-class ReportError(ReportParseError):
-    """A report that cannot be read."""
+#: A report that cannot be read.
+ReportError = ReportParseError
 
 
 def _character(code: int) -> str:
