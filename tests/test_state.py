@@ -78,6 +78,8 @@ def test_facts_of_a_run_from_states(spark, filled):
     last = spark.createDataFrame([(batches[-1][1][0],)], "run_id long")
     plan = store.run_facts(last, batches[-1][0])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") > 3
+    u.unpersist()  # else later reads of the same files come from the cache
+    r.unpersist()
 
 
 def test_a_test_is_looked_up_in_its_part(spark, filled):
