@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from testweave.llm import repeats
 from testweave.llm.repeats import LENGTH, PIECE, Q, pieces, remove_repeats, repeat_digests, windows
 
 
@@ -113,3 +114,40 @@ def test_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, long, "a", 1.0, "u"), (2, long, "b", 2.0, "v")], "doc_id long, text string, _row string, _runs double, `_HASH` string")
     got = sorted(map(tuple, remove_repeats(docs).collect()))
     assert got == [(1, "", "a", 1.0, "u"), (2, "", "b", 2.0, "v")]
+
+
+def hot_lines():
+    rng = random.Random(12)
+    prose = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    line, passage = prose(20) + "\n", prose(150)
+    texts = [line * 40 for _ in range(30)] + [f"{i} " + line * 30 + prose(9) for i in range(20)]
+    texts += [prose(9) + passage + prose(2) + passage[: 450 + i] + line * 7 + passage for i in range(20)]
+    return texts + [(line * 3 + f"{i}") * 6 for i in range(8)] + ["#" * 3000, prose(5) + "#" * 2000]
+
+
+def test_equal_stretches_of_a_part_travel_as_one_row():
+    texts = hot_lines()
+    blank = np.zeros(len(texts), np.int64)
+    data, off = repeats.text_buffers(pa.array(texts))
+    ats = [sorted({int(a - off[i]) for a in windows(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[3] + off[i]}) for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(blank), pa.array(texts), pa.array(ats, pa.list_(pa.int64()))], names=["doc_id", "th", "text", "ats"])
+    out = pa.Table.from_batches(repeats._stretches(iter([batch])))
+    stretches = sum(map(len, ats))
+    assert out.num_rows < stretches / 8  # one row for each of them before
+    assert sum(out["n"].to_pylist()) == stretches
+    starts = Counter((p["doc_id"], p["lo"] + k) for r in out["places"].to_pylist() for p in r for k in range(p["span"]))
+    assert starts == Counter((i, k) for i, t in enumerate(texts) for k in range(len(t) - LENGTH + 1))
+
+
+def test_rows_hold_few_places(monkeypatch):
+    monkeypatch.setattr(repeats, "PLACES", 4)
+    new, doc = np.array([1, 0, 0, 0, 0, 0, 0, 1, 0, 1], bool), np.array([0, 0, 0, 1, 2, 3, 4, 0, 0, 0])
+    first = np.array([0, 10, 30, 5, 5, 5, 5, 7, 8, 50])
+    place, row = repeats._places(new, doc, first, np.where(first == 7, 7, first + 9))
+    assert place.tolist() == [0, 2, 3, 4, 5, 6, 7, 9] and row.tolist() == [0, 4, 6, 7]
+
+
+def test_hot_lines_equal_brute_force(spark):
+    texts = hot_lines()
+    got = {r.doc_id: tuple(r)[1:] for r in repeat_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
