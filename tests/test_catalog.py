@@ -40,6 +40,15 @@ def test_equals_sql(spark, duck, name):
     assert all(same(x, y) for g, w in zip(got, rows) for x, y in zip(g, w)), [(g, w) for g, w in zip(got, rows) if g != w][:3]
 
 
+@pytest.mark.parametrize("name", "classify classify_now action_bucket bucket_summary headline exit_code json_report accounting apply_escalation escalation_batch escalation_plan escalation_too_large group_by_action run_report blame_proximity blame_correlate top_blame".split())
+def test_no_join_sends_the_history_to_the_driver(spark, name):
+    """At Spark's own limit for broadcasts, whatever tables are estimated at: only what a fixed number of rows bounds may be sent."""
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    sent = [x for x in plan.split("\n") if "BroadcastHashJoin" in x]
+    # the counts of kinds, confidences and slots; answers have one row a test
+    assert len(sent) <= (name in ("group_by_action", "apply_escalation", "accounting")), sent
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.ORACLES) <= set(entry.oracle_sql()) and set(catalog.QUERIES) <= set(entry.queries())
