@@ -1,5 +1,6 @@
 """Facts against their definition, row by row, on random histories."""
 
+import itertools
 import random
 
 import pytest
@@ -82,6 +83,20 @@ def test_a_later_run_is_not_seen(spark):
         facts(u, r, as_of="then")
 
 
+@pytest.mark.parametrize("as_of", ["run", "now"])
+def test_results_meet_their_runs_before_they_are_dealt_out_by_test(spark, as_of):
+    """All results are shuffled twice (by run and by test), with keys as bytes and without the runs' changed files."""
+    d = "/root/testdata/sf0.001"
+    rows = facts(adapters.runs(spark, d), adapters.results(spark, d), as_of=as_of).drop("changed_files")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    by_test = [x for x in plan if "RepartitionByExpression [test_key" in x]
+    assert len(by_test) == 1
+    at, depth = plan.index(by_test[0]) + 1, by_test[0].index("RepartitionBy")
+    below = "\n".join(itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-")) > depth, plan[at:]))
+    assert "unhex" in below and "arrays_overlap" in below
+    assert "Window" not in below and "Join" in below and "Aggregate" not in below
+
+
 def test_empty(spark):
     u, r = spark.createDataFrame([], RUNS), spark.createDataFrame([], RESULTS)
     assert facts(u, r).count() == 0 and verdicts(u, r).count() == 0
