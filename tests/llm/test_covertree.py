@@ -54,6 +54,37 @@ def test_matches_brute_force(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_rounds_shuffle_a_bounded_number_of_blocks(spark, monkeypatch):
+    """Each pair of tiles is met once, whatever rounds it falls into, and no round sends out more than twice the blocks."""
+    from testweave.llm import covertree
+
+    for n in (20, 400, 4000):
+        size, rounds = covertree._rounds([(8, a, b, n // 10, n // 10) for a in range(10) for b in range(a, 10)], n)
+        tiles = -(-(n // 10) // size)
+        rows = [r for some in rounds for r in some]
+        assert sorted(rows) == sorted((8, a, b, t, tiles) for a in range(10) for b in range(a, 10) for t in range(tiles))
+        assert all(sum(size * r[4] + n // 10 for r in some) <= max(2 * n, covertree.ROUND) + (len(some) == 1) * 2 * n for some in rounds)
+    for k, v in (("BLOCK", 20), ("ROUND", 4), ("TILE", 1), ("PARTS", 3)):
+        monkeypatch.setattr(covertree, k, v)
+    written = []
+    monkeypatch.setattr(covertree, "materialize", lambda df, name, f=covertree.materialize: written.append(name) or f(df, name))
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(3, 8))
+    rows = [(i + 1, [float(np.float32(c)) for c in centres[i % 3] + rng.normal(size=8) * (0.05, 0.12, 0.3)[i % 3]], 0, None) for i in range(160)]
+    check(spark, rows)
+    assert written.count("links") > 4
+
+
+def test_tiles_of_several_blocks(spark, monkeypatch):
+    from testweave.llm import covertree
+
+    monkeypatch.setattr(covertree, "BLOCK", 12)
+    monkeypatch.setattr(covertree, "_rounds", lambda pairs, n, f=covertree._rounds: f(pairs, 16 * covertree.TILE * 3))
+    rng = np.random.default_rng(3)
+    rows = [(i + 1, [float(np.float32(c)) for c in rng.normal(size=4) * 0.2 + 1], 0, None) for i in range(150)]
+    check(spark, rows)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 0, None), (2, [], 0, None), (3, [0.0, 0.0], 0, ""), (4, [1.0, None], None, None), (5, [nan, 1.0], 0, None), (6, [inf, 1.0], 0, None), (7, [1.0, 0.0], 0, None), (8, [2.0, 0.0], 0, None), (9, [1.0], 0, None), (10, [-1.0, 0.0], 0, None), (None, [1.0, 0.0], 0, None)]

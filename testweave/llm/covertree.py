@@ -8,8 +8,10 @@ no pair in range, so the links are exact.
 Distribution: the top of the tree is built on the driver from a bounded sample (``SAMPLE`` vectors) and only routes:
 every vector goes to the cell of a top node, whose covering radius is then aggregated over all its vectors. Cells are
 split into blocks of about ``BLOCK`` vectors by hash, each block's tree is built once and travels with it whole, pairs of
-cells that the bound keeps become pairs of blocks, and a task takes one pair of blocks and traverses their trees together. Copies of one vector are a single
-point with a count, so a vector that a third of the rows share costs one point.
+cells that the bound keeps become pairs of tiles (one block each, or up to ``TILE`` where there are many), and a task takes
+one pair of tiles and traverses their trees together. Pairs are taken in rounds of some left tiles each, so that what a
+round shuffles is about twice the blocks and goes before the next: the disk grows with the table, not with its square.
+Copies of one vector are a single point with a count, so a vector that a third of the rows share costs one point.
 
 In data without neighbourhoods (random directions in 64 dimensions) covering radii exclude nothing but single points,
 so the traversal ends in matrix products of all blocks: exact, but quadratic. Clustered data is pruned by cell.
@@ -17,17 +19,21 @@ so the traversal ends in matrix products of all blocks: exact, but quadratic. Cl
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
 
 SAMPLE = 2048
 MAX_CELLS = 256
 BLOCK = 4096
+#: Blocks in a tile at most, blocks that a round may shuffle at least, and tables of links before they become one.
+TILE, ROUND, PARTS = 8, 256, 32
 LEAF = 48
 SLACK = 1e-9
 BLOCK_COLUMNS = ("ids", "ns", "xs", "order", "nodes")
@@ -212,15 +218,24 @@ def _pack(key, t):
     return pa.table({"dim": pa.array([row[0]], pa.int32()), "cell": pa.array([row[1]], pa.int32()), "chunk": pa.array([row[2]], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "ns": pa.array([n[order].tobytes()], pa.binary()), "xs": pa.array([x.tobytes()], pa.binary()), "order": pa.array([order_], pa.binary()), "nodes": pa.array([nodes], pa.binary())})
 
 
-def _join_blocks(limit: float):
+def _join_tiles(limit: float):
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("rep", "more", "low")})
+
     def run(key, t):
-        sides = []
-        for r in sorted(t.to_pylist(), key=lambda r: r["side"]):
+        sides: list[list] = [[], []]
+        for r in sorted(t.to_pylist(), key=lambda r: r["chunk"]):
             ids, n = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ns"], np.int64)
             x = np.frombuffer(r["xs"], np.float64).reshape(len(ids), -1)
-            sides.append((ids, n, Node.of(x, r["order"], r["nodes"])))
-        (ia, na, ta), (ib, nb, tb) = sides[0], sides[-1]
-        same = len(sides) == 1
+            sides[r["side"]].append((ids, n, Node.of(x, r["order"], r["nodes"])))
+        left, right = sides
+        _, cell_a, cell_b, tile_a, tile_b = (k.as_py() for k in key)
+        itself = cell_a == cell_b and tile_a == tile_b
+        pairs = [(a, b) for i, a in enumerate(left) for b in (left[i:] if itself else right)]
+        return pa.concat_tables([none, *(met(a, b) for a, b in pairs)])
+
+    def met(a, b):
+        (ia, na, ta), (ib, nb, tb) = a, b
+        same = a is b
         shift = 0 if same else len(ia)
         links = np.zeros(shift + len(ib), np.int64)
         li, lj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -243,6 +258,26 @@ def _join_blocks(limit: float):
     return run
 
 
+def _rounds(pairs: list[tuple], n_blocks: int) -> tuple[int, list[list[tuple]]]:
+    """Blocks in a tile, and the pairs of cells (dim, cell_a, cell_b, blocks of both) as rounds of (dim, cell_a, cell_b, tile_a, tiles of cell_b).
+
+    A round takes left tiles until what it shuffles, their copies and the blocks that they meet, is twice all blocks.
+    """
+    size = max(1, min(TILE, n_blocks // (16 * TILE)))
+    tiles = lambda n: -(-n // size)
+    rounds: list[list[tuple]] = [[]]
+    sent = 0
+    for d, a, b, n_a, n_b in sorted(pairs):
+        for t in range(tiles(n_a)):
+            cost = min(size, n_a) * tiles(n_b) + n_b
+            if rounds[-1] and sent + cost > max(2 * n_blocks, ROUND):
+                rounds.append([])
+                sent = 0
+            rounds[-1].append((d, a, b, t, tiles(n_b)))
+            sent += cost
+    return size, [r for r in rounds if r]
+
+
 def near_embeddings(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -295,15 +330,27 @@ def near_embeddings(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_
                     pairs.append((c["dim"], c["cell"], e["cell"], chunks[c["dim"], c["cell"]], chunks[e["dim"], e["cell"]]))
     spark = vectors.sparkSession
     n_chunks = spark.createDataFrame([(d, c, n) for (d, c), n in chunks.items()], "dim int, cell int, n_chunks int")
-    links = spark.createDataFrame(pairs, "dim int, cell_a int, cell_b int, n_a int, n_b int")
     blocks = routed.join(F.broadcast(n_chunks), ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n_chunks")).cast("int")).groupBy("dim", "cell", "chunk").applyInArrow(_pack, f"dim int, cell int, chunk int, {', '.join(f'{c} binary' for c in BLOCK_COLUMNS)}")
     blocks = materialize(blocks, "blocks")
-    left = blocks.join(F.broadcast(links), (blocks["dim"] == links["dim"]) & (blocks["cell"] == links["cell_a"])).select(blocks["dim"], "cell_a", "cell_b", F.col("chunk").alias("chunk_a"), F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("chunk_b"), F.lit(0).alias("side"), *BLOCK_COLUMNS)
-    right = blocks.join(F.broadcast(links), (blocks["dim"] == links["dim"]) & (blocks["cell"] == links["cell_b"])).select(blocks["dim"], "cell_a", "cell_b", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("chunk_a"), F.col("chunk").alias("chunk_b"), F.lit(1).alias("side"), *BLOCK_COLUMNS)
-    once = (F.col("cell_a") < F.col("cell_b")) | (F.col("chunk_a") <= F.col("chunk_b"))
-    itself = (F.col("cell_a") == F.col("cell_b")) & (F.col("chunk_a") == F.col("chunk_b"))
-    met = left.where(once).unionByName(right.where(once & ~itself))
-    found = materialize(met.groupBy("dim", "cell_a", "cell_b", "chunk_a", "chunk_b").applyInArrow(_join_blocks(limit), "rep long, more long, low long"), "links")
+    discard(routed)
+    parts: list[DataFrame] = []
+    size, rounds = _rounds(pairs, sum(chunks.values()))
+    for some in rounds:
+        links = spark.createDataFrame(some, "dim int, cell_a int, cell_b int, tile_a int, n_b int")
+        mine = blocks.withColumn("tile", F.floor(F.col("chunk") / size).cast("int"))
+        kept = ["dim", "cell_a", "cell_b", "tile_a", "tile_b", "side", "chunk", *BLOCK_COLUMNS]
+        one_cell = F.col("cell_a") == F.col("cell_b")
+        first = F.when(one_cell, F.col("tile_a")).otherwise(0)
+        left = mine.join(F.broadcast(links.withColumnsRenamed({"cell_a": "cell", "tile_a": "tile"})), ["dim", "cell", "tile"]).withColumnsRenamed({"cell": "cell_a", "tile": "tile_a"}).withColumns({"tile_b": F.explode(F.sequence(first, F.col("n_b") - 1)), "side": F.lit(0)})
+        right = mine.withColumnsRenamed({"cell": "cell_b", "tile": "tile_b"}).join(F.broadcast(links), ["dim", "cell_b"]).where(~one_cell | (F.col("tile_a") < F.col("tile_b"))).withColumn("side", F.lit(1))
+        met = left.select(*kept).unionByName(right.select(*kept))
+        parts.append(materialize(met.groupBy("dim", "cell_a", "cell_b", "tile_a", "tile_b").applyInArrow(_join_tiles(limit), "rep long, more long, low long"), "links"))
+        if len(parts) == PARTS:
+            whole = materialize(reduce(DataFrame.unionByName, parts), "links")
+            discard(*parts)
+            parts = [whole]
+    discard(blocks)
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "rep long, more long, low long")
 
     label = connected_components(found.select("rep", "low"))
     more = found.groupBy("rep").agg(F.sum("more").alias("more"))
